@@ -82,13 +82,9 @@ def orphans(qrels: DataFrame, loads: dict[str, DataFrame], removed: DataFrame) -
         .groupBy("ref_field", "key")
         .agg(F.sum("n_refs").alias("n_refs"), F.sum("n_events").alias("n_events"))
     )
-    # one pass: the total comes from the same aggregate, and at most 1 / HEAVY_SHARE rows of it can pass
-    total = F.broadcast(weights.agg(F.sum(F.col("n_refs") + F.col("n_events")).alias("total")))
-    heavy_rows = (
-        weights.join(total, F.col("n_refs") + F.col("n_events") >= F.col("total") * F.lit(HEAVY_SHARE))
-        .select("ref_field", "key", "n_events")
-        .collect()
-    )
+    # row counts come from the file footers; they bound the sum of all weights, so at most 1 / HEAVY_SHARE keys pass
+    total = len(FIELDS) * qrels.count() + sum(df.count() for df in loads.values()) + removed.count()
+    heavy_rows = weights.where(F.col("n_refs") + F.col("n_events") >= max(1.0, total * HEAVY_SHARE)).select("ref_field", "key", "n_events").collect()
     spark = qrels.sparkSession
     heavy = spark.createDataFrame([(r[0], r[1], r[2] <= BROADCAST_HISTORY) for r in heavy_rows], "ref_field string, key string, short boolean")
     keys = ["ref_field", "key"]
