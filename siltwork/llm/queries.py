@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import bpe, mixing, terms, topn
+from siltwork.llm import bpe, mixing, pieces, sentences, terms, topn
 from siltwork.session import scratch_path
-from siltwork.sources.tables import table
+from siltwork.sources.tables import current_rows, table
+
+
+def _current(spark: SparkSession, folder: str) -> DataFrame:
+    return current_rows(table(spark, folder, "docs_file"), "doc_id", "loaded_at", ["text"])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence units of the current rows of ``docs_file``."""
+    return sentences.sentence_units(_current(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +54,16 @@ def p3_delta(spark: SparkSession, folder: str) -> DataFrame:
     return terms.marked(terms.TermState(spark, scratch_path(spark, "terms")).apply(late).apply(terms.first_records(docs)))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Current rows of ``docs_file`` with a text above the limit, and whether a stretch of it cannot be cut naturally."""
+    return pieces.oversized(pieces.boundary_tables(pieces.ranges(_current(spark, folder))))
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of those texts."""
+    return pieces.pieces(pieces.ranges(_current(spark, folder)))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return table(spark, folder, "documents").select("doc_id", bpe.ids_of(F.col("text")).alias("ids"))
@@ -70,7 +89,7 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(*_mix(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_counts, p3_delta, p8_ids, p9_found, p9_report, p9_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_counts, p3_delta, p6_found, p6_pieces, p8_ids, p9_found, p9_report, p9_mix)}
 
 _TOP = """
 with best as (
