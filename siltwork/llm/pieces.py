@@ -10,8 +10,8 @@ A piece ends at the last sentence end that keeps it within the limit, else at th
 forced place. The next piece starts at the earliest word within ``OVERLAP`` bytes before that end, so both share what
 lies between (nothing where no word starts there); the shared length is given with the piece.
 
-Edge cases: null, empty and small texts give nothing; rows without ``doc_id`` are left out; a text of white space alone
-has one piece boundary per limit like any other; sizes are bytes in UTF-8.
+Edge cases: null, empty and small texts give nothing; rows without ``doc_id`` are left out; long white space
+is cut inside like any other stretch; sizes are bytes in UTF-8.
 """
 
 from __future__ import annotations
@@ -50,7 +50,10 @@ def boundaries(part: str, lo: int, hi: int, first: bool, state: int, every: int)
     core = part[lo:hi]
     code = np.frombuffer(core.encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
-    found = {m.start(): (m.end(), SPACE) for m in _RUN.finditer(core)}
+    found = {}
+    for m in _RUN.finditer(core):  # a long run has places inside
+        for a in range(m.start(), m.end(), every):
+            found[a] = (min(a + every, m.end()), SPACE)
     for e in ends:
         e -= lo
         found[e] = (found[e][0] if e in found else e, SENTENCE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import bpe, mixing, pieces, sentences, terms, topn
+from siltwork.llm import bpe, mixing, pieces, pii, sentences, terms, topn
 from siltwork.session import scratch_path
 from siltwork.sources.tables import current_rows, table
 
@@ -89,7 +89,17 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(*_mix(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_counts, p3_delta, p6_found, p6_pieces, p8_ids, p9_found, p9_report, p9_mix)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Places with personal data in ``documents``."""
+    return pii.places(table(spark, folder, "documents"), table(spark, folder, "name_list"))
+
+
+def p10_text(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with these places replaced by placeholders."""
+    return pii.replaced(table(spark, folder, "documents"), p10_found(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_ranked, p3_found, p3_counts, p3_delta, p6_found, p6_pieces, p8_ids, p9_found, p9_report, p9_mix, p10_found, p10_text)}
 
 _TOP = """
 with best as (
