@@ -44,7 +44,7 @@ EMAIL = re.compile(
 )
 _EXT = r"(?:,?\s?(?:ext\.?|extension|poste|x)\s?\d{1,5}(?!\d))?"
 PHONE_FORMS = [
-    r"\(?\+\d{1,3}\)?(?:[\s./-]?\(\d{1,4}\))?(?:[\s./-]?\d){6,12}",  # international
+    r"\(?[+＋]\d{1,3}\)?(?:[\s./-]?\(\d{1,4}\))?(?:[\s./-]?\d){6,12}",  # international
     r"00\d{2}(?:[\s./-]\d{1,6}){2,5}",
     r"(?:1[\s.-])?\(\d{3}\)\s?\d{3}[\s.-]\d{4}",
     r"(?:1[\s.-])?\d{3}([\s.-])\d{3}\1\d{4}",
@@ -53,10 +53,10 @@ PHONE_FORMS = [
     r"0\d{4}\s\d{3}\s?\d{3}",
     r"0\d([\s.])\d\d(?:\2\d\d){3}",
     r"8\s\d{3}\s\d{3}(?:[\s-]\d\d){2}",
-    r"0\d{1,2}-\d{4}-?\d{4}",
+    r"[0０]\d{1,2}[-－]\d{4}[-－]?\d{4}",
     r"0\d{9,10}(?!\d)",
 ]
-PHONE = re.compile(rf"(?<![\w.,/+\-–@#$€])(?:{'|'.join(PHONE_FORMS)}){_EXT}(?![\d]|[.,/\-]\d|[A-Za-z%])")
+PHONE = re.compile(rf"(?<![{_L}.,/+\-–@#$€_])(?:{'|'.join(PHONE_FORMS)}){_EXT}(?![\d]|[.,/\-]\d|[A-Za-z%])")
 #: Forms that are phones only after a label.
 LABELLED_PHONE = re.compile(
     r"(?i)(?:\b(?:tel|tél|tfno|phone|telephone|teléfono|telefon|téléphone|mobile|móvil|fax|call|llame al|appeler le)|тел|电话(?:号码)?|電話(?:番号)?|โทร|फ़ोन)\.?\s?[:：]?\s?"
@@ -68,7 +68,7 @@ NOT_PERSONAL = re.compile(
 )
 _NUMBER_LABEL = (
     r"(?i:\bSSN|social security (?:number|no\.?)|national insurance (?:number|no\.?)|insurance (?:number|no\.?)|NINO|NHS (?:number|no\.?)|tax (?:id|number|no\.?)|Steuer-?ID(?:-?Nr\.?)?|Steueridentifikationsnummer"
-    r"|passport (?:number|no\.?)|passport|Reisepass(?:-?Nr\.?)?|Personalausweis(?:-?Nr\.?)?|identity card(?: (?:number|no\.?))?|ID(?: (?:card|number|no\.?))?|patient (?:record|id|number|no\.?)|medical record(?: number)?|MRN|record no\.?"
+    r"|passport (?:number|no\.?)|passport|Reisepass(?:-?Nr\.?)?|Personalausweis(?:-?Nr\.?)?|identity card(?: (?:number|no\.?))?|ID(?: (?:card|number|no\.?))?|patient (?:record|id|number|no\.?)|medical record(?: number)?|MRN|record(?: no\.?)?"
     r"|DNI|NIE|NIF|N[°º] de sécurité sociale|numéro de sécurité sociale|NIR|паспорт|СНИЛС|ИНН|card showed)"
 )
 LONG_NUMBER = re.compile(r"(?<![\d./-])\d(?:[\s./-]?\d){4,16}(?:[\s-]?[A-Za-z](?![A-Za-z]))?(?!\w)")
