@@ -18,7 +18,6 @@ certain type stays (mail, address, number of identity, phone, person); an empty
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,11 +36,10 @@ MAX_NAMES = 1_000_000
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 _L = "A-Za-z0-9À-ɏ"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
-EMAIL = re.compile(
-    rf"(?<![{_L}.+_%-])[{_L}](?:[{_L}._%+-]*[{_L}_+-])?"
-    rf"(?:(?:\s?[@＠]\s?|\s?\[at\]\s?|\s?\(at\)\s?)[{_L}-]+(?:{_DOT}[{_L}-]+)*{_DOT}[A-Za-z]{{2,24}}|\sat\s[{_L}-]+(?:\sdot\s[{_L}-]+)*\sdot\s[A-Za-z]{{2,24}})(?![{_L}])",
-    re.I,
-)
+AT_SIGN = re.compile(r"\s?(?:[@＠]|\[at\]|\(at\))\s?|\sat\s(?=[^\s]{1,63}\sdot\s)", re.I)
+BEFORE_AT = re.compile(rf"(?<![{_L}.+_%-])[{_L}](?:[{_L}._%+-]*[{_L}_+-])?$")
+AFTER_AT = re.compile(rf"[{_L}-]+(?:{_DOT}[{_L}-]+)*{_DOT}[A-Za-z]{{2,24}}(?![{_L}])", re.I)
+AFTER_WORD = re.compile(rf"[{_L}-]+(?:\sdot\s[{_L}-]+)*\sdot\s[A-Za-z]{{2,24}}(?![{_L}])", re.I)
 _EXT = r"(?:,?\s?(?:ext\.?|extension|poste|x)\s?\d{1,5}(?!\d))?"
 PHONE_FORMS = [
     r"\(?[+＋]\d{1,3}\)?(?:[\s./-]?\(\d{1,4}\))?(?:[\s./-]?\d){6,12}",  # international
@@ -57,11 +55,10 @@ PHONE_FORMS = [
     r"0\d{9,10}(?!\d)",
 ]
 PHONE = re.compile(rf"(?<![{_L}.,/+\-–@#$€_])(?:{'|'.join(PHONE_FORMS)}){_EXT}(?![\d]|[.,/\-]\d|[A-Za-z%])")
-#: Forms that are phones only after a label.
-LABELLED_PHONE = re.compile(
-    r"(?i)(?:\b(?:tel|tél|tfno|phone|telephone|teléfono|telefon|téléphone|mobile|móvil|fax|call|llame al|appeler le)|тел|电话(?:号码)?|電話(?:番号)?|โทร|फ़ोन)\.?\s?[:：]?\s?"
-    rf"((?:\d{{3}}[\s.-]\d{{2}}[\s.-]\d{{2}}[\s.-]\d{{2}}|\d{{3}}[\s.-]\d{{3}}[\s.-]\d{{3}}|\d{{9,11}}){_EXT})(?![\d]|[.,/\-]\d|[A-Za-z])"
-)
+#: Forms that are phones only after a label, and the labels.
+LABELLED_PHONE = re.compile(r"\d{3}[\s.-]\d{2}[\s.-]\d{2}[\s.-]\d{2}|\d{3}[\s.-]\d{3}[\s.-]\d{3}|\d{9,11}")
+BEFORE_PHONE = re.compile(r"(?i)(?:\b(?:tel|tél|tfno|phone|telephone|teléfono|telefon|téléphone|mobile|móvil|fax|call|llame al|appeler le)|тел|电话(?:号码)?|電話(?:番号)?|โทร|फ़ोन)\.?\s?[:：]?\s?$")
+EXTENSION = re.compile(_EXT)
 #: Words before a number that make it something else.
 NOT_PERSONAL = re.compile(
     r"(?i)(?:\b(?:lot|batch|isbn|issn|catalogue no|catalog no|cat\. no|part no|order no|item|grant|trial|accession|build|version|doses? of|ranked|ratio was|doi|serial no|model|kit|figure|fig|table|page|pages|pp|vol|nct|ci|values)\b|[#$€£])[\s.:=]*(?:no\.?\s?)?$"
@@ -89,7 +86,21 @@ ADDRESS_FORMS = [
     rf"(?<![\w])(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino|Carrera)\s?(?:de\sla\s|de\slos\s|de\s|del\s)?{_CAP},?\s\d{{1,4}}(?:,\s\d{{1,2}}\.?[ºª°](?:\s?[A-Z](?![\w]))?)?(?:,\s\d{{5}}\s{_CAP})?",
     r"(?<![\w])(?:ул\.|улица|пр\.|проспект|пер\.)\s[А-Я][\w-]+,\s(?:д\.\s?)?\d{1,4}(?:,\sкв\.\s?\d+)?(?:,\s\d{6})?",
 ]
-ADDRESS = re.compile("|".join(ADDRESS_FORMS))
+#: Each form with the words of which a text must have one.
+ADDRESSES = [
+    (re.compile(form), hints)
+    for form, hints in zip(
+        ADDRESS_FORMS,
+        (
+            [f"{gap}{x}" for t in "Street St Road Rd Ave Lane Ln Boul Blvd Close Drive Dr. Court Ct Cresc Terr Pl Sq Way Grove Gard Row Hill Park High".split() for x in (t, t.upper()) for gap in " \n"],
+            "straße strasse str. weg platz allee gasse ring damm ufer".split() + ["Am ", "An der", "An\nder", "Am\n", "Im ", "Auf dem", "Zum ", "Zur "],
+            "rue avenue av. place boulevard bd chemin impasse allée quai route cours square".split(),
+            "Calle C/ Avda. Avenida Plaza Paseo Camino Carrera".split(),
+            "ул. улица пр. проспект пер.".split(),
+        ),
+        strict=True,
+    )
+]
 
 TITLES = frozenset("mr mrs ms miss mx dr prof professor herr frau mme mlle madame monsieur sr sra srta dra don doña nurse sister г-н г-жа доктор проф д-р".split())
 #: After these a family name alone counts.
@@ -158,24 +169,37 @@ def _initial(w: str) -> bool:
     return len(w) == 1 and w.isalpha()
 
 
-def evidence(text: str, names: Names, seen: Counter) -> None:
-    """Add a text's terms to ``seen``: (term, what) with what in all, small, given, family. Only within a line."""
-    ws = _words(text)
+CAPITAL, SMALL, GIVEN, FAMILY = range(4)
+
+
+def evidence(text: str, ws: list[tuple[str, int, int]], names: Names, seen: dict[str, list[int]]) -> None:
+    """Add the words of a text to ``seen``: term to [capital, small, given, family]. Only within a line.
+
+    Words written small are counted only if they are on the list of names: others are no names.
+    """
     given, family, n = names.given, names.is_family, len(ws)
+
+    def note(term: str, what: int) -> None:
+        row = seen.get(term)
+        if row is None:
+            row = seen[term] = [0, 0, 0, 0]
+        row[what] += 1
+
     for i, (w, a, b) in enumerate(ws):
-        key = w.casefold()
-        seen[key, "all"] += 1
         if not w[0].isupper():
-            seen[key, "small"] += 1
-            if i and ws[i - 1][0].islower():  # both parts of a known name written small
-                prev, before = ws[i - 1][0].casefold(), text[ws[i - 1][2] : a]
-                if before == " " and prev in given and family(key):
-                    seen[prev, "given"] += 1
-                    seen[key, "family"] += 1
-                elif before == ", " and family(prev) and key in given:
-                    seen[prev, "family"] += 1
-                    seen[key, "given"] += 1
+            if w in given or w in names.family:
+                note(w, SMALL)
+                if i and ws[i - 1][0].islower():  # both parts of a known name written small
+                    prev, before = ws[i - 1][0], text[ws[i - 1][2] : a]
+                    if before == " " and prev in given and family(w):
+                        note(prev, GIVEN)
+                        note(w, FAMILY)
+                    elif before == ", " and family(prev) and w in given:
+                        note(prev, FAMILY)
+                        note(w, GIVEN)
             continue
+        key = w.casefold()
+        note(key, CAPITAL)
         if len(w) < 2:
             continue
         if i:
@@ -183,27 +207,27 @@ def evidence(text: str, names: Names, seen: Counter) -> None:
             before = text[ws[j][2] : a]
             prev = ws[j][0]
             if before == ". " and _stands_alone(text, ws, j):
-                seen[key, "family"] += 1
+                note(key, FAMILY)
             elif before == " " and prev[0].isupper() and prev.casefold() in given:
-                seen[key, "family"] += 1
+                note(key, FAMILY)
             elif before in (" ", ". ") and prev.casefold() in ALONE:
-                seen[key, "family"] += 1
+                note(key, FAMILY)
             elif before == ", " and prev[0].isupper() and family(prev.casefold()):
-                seen[key, "given"] += 1
+                note(key, GIVEN)
         if i + 1 < n:
             k = i + 1
             after, nxt = text[b : ws[k][1]], ws[k][0]
             if after == ", " and nxt[0].isupper() and nxt.casefold() in given:
                 if not (k + 1 < n and ws[k + 1][0][0].isupper() and text[ws[k][2] : ws[k + 1][1]] == " "):
-                    seen[key, "family"] += 1
+                    note(key, FAMILY)
             elif after == " ":
                 if _initial(nxt) and k + 1 < n and text[ws[k][2] : ws[k + 1][1]] == ". ":
                     k += 1
                     nxt = ws[k][0]
                 if nxt[0].isupper() and family(nxt.casefold()) and not _thing(ws, k + 1):
-                    seen[key, "given"] += 1
+                    note(key, GIVEN)
                 elif nxt[0].isupper() and not w.isascii() and nxt.casefold() in given:
-                    seen[key, "family"] += 1
+                    note(key, FAMILY)
 
 
 def _stands_alone(text: str, ws: list, j: int) -> bool:
@@ -224,18 +248,26 @@ def fixed_places(text: str) -> list[tuple[str, int, int]]:
         if all(b <= x or y <= a for _, x, y in found):
             found.append((kind, a, b))
 
-    for m in EMAIL.finditer(text):
-        add("email", *m.span())
-    for m in ADDRESS.finditer(text):
-        add("address", *m.span())
-    for m in LONG_NUMBER.finditer(text):
+    for m in AT_SIGN.finditer(text):
+        local = BEFORE_AT.search(text, max(0, m.start() - 80), m.start())
+        domain = (AFTER_WORD if m[0].strip().lower() == "at" else AFTER_AT).match(text, m.end())
+        if local and domain:
+            add("email", local.start(), domain.end())
+    for form, hints in ADDRESSES:
+        if any(h in text for h in hints):
+            for m in form.finditer(text):
+                add("address", *m.span())
+    numbers = list(LONG_NUMBER.finditer(text))
+    for m in numbers:
         if label := BEFORE_NUMBER.search(text, max(0, m.start() - 48), m.start()):
             add("id_number", label.start(1) if label[1] else m.start(), m.end())
     for m in ID_FORMS.finditer(text):
         if not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()):
             add("id_number", *m.span())
-    for m in LABELLED_PHONE.finditer(text):
-        add("phone", *m.span(1))
+    for m in numbers:
+        form = LABELLED_PHONE.match(text, m.start())
+        if form and form.end() >= m.end() - 2 and BEFORE_PHONE.search(text, max(0, m.start() - 20), m.start()):
+            add("phone", m.start(), EXTENSION.match(text, form.end()).end())
     for m in PHONE.finditer(text):
         if not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()) and sum(c.isdigit() for c in m[0]) >= 8:
             add("phone", *m.span())
@@ -244,19 +276,17 @@ def fixed_places(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def person_forms(text: str, names: Names, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str | None, str | None, str]]:
+def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str | None, str | None, str]]:
     """``(start, end, given term, family term, beside)``: terms that still need disclosure, null for parts that do not.
 
     ``beside`` says what unknown terms stand beside: known, initial or alone; small for known names written small.
     """
-    ws = _words(text)
     n, i = len(ws), 0
-    keys = [w[0].casefold() for w in ws]
+    keys = _Keys(ws)
     given, family = names.given, names.family
-    while i < n - 1 or i < n and i and keys[i - 1] in ALONE:
-        w, key = ws[i][0], keys[i]
-        cap = w[0].isupper()
-        if not cap and key not in given and key not in family and "-" not in key and len(w) > 1:
+    while i < n:
+        w = ws[i][0]
+        if len(w) > 1 and w.islower() and w not in given and w not in family and "-" not in w:
             i += 1
             continue
         form = _form(text, ws, keys, i, names)
@@ -276,7 +306,17 @@ def person_forms(text: str, names: Names, taken: list[tuple[str, int, int]]) ->
         i = i + 1 if beside == "alone" else last + 1
 
 
-def _form(text: str, ws: list, keys: list[str], i: int, names: Names) -> tuple[int, str | None, str | None, str] | None:
+class _Keys:
+    """Lower-case forms of words, made when asked for."""
+
+    def __init__(self, ws: list[tuple[str, int, int]]) -> None:
+        self.ws = ws
+
+    def __getitem__(self, i: int) -> str:
+        return self.ws[i][0].casefold()
+
+
+def _form(text: str, ws: list, keys: _Keys, i: int, names: Names) -> tuple[int, str | None, str | None, str] | None:
     """The name form that begins at word ``i``: its last word, terms to disclose, and what they stand beside."""
     n, w, key = len(ws), ws[i][0], keys[i]
     if key in TITLES:
@@ -347,24 +387,6 @@ def _form(text: str, ws: list, keys: list[str], i: int, names: Names) -> tuple[i
     return None
 
 
-def term_counts(docs: DataFrame, names: Names) -> DataFrame:
-    """``(term, n_all, n_small, n_given, n_family)`` over the whole corpus, counted per batch before the shuffle."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch["text"]:
-                evidence(text, names, seen)
-            rows: dict[str, list[int]] = {}
-            place = {"all": 0, "small": 1, "given": 2, "family": 3}
-            for (term, what), c in seen.items():
-                rows.setdefault(term, [0, 0, 0, 0])[place[what]] += c
-            yield pd.DataFrame([(t, *c) for t, c in rows.items()], columns=["term", "n_all", "n_small", "n_given", "n_family"])
-
-    counted = docs.select("text").mapInPandas(count, "term string, n_all bigint, n_small bigint, n_given bigint, n_family bigint")
-    return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_small", "n_given", "n_family")])
-
-
 def _missing(n: Column, of: Column) -> Column:
     return -F.log2(F.least(F.lit(1.0), n / F.greatest(of, F.lit(1))))
 
@@ -376,7 +398,7 @@ def passed_on(scored: DataFrame, counts: DataFrame, waits: DataFrame) -> DataFra
     for role, other in (("given", "family"), ("family", "given")):
         sure = scored.where((F.col("role") == other) & (F.col("below") <= SLACK_ALONE)).select(F.col("term").alias(other))
         n = pairs.join(sure, other, "left_semi").groupBy(F.col(role).alias("term")).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(n.join(counts, "term").select("term", F.lit(role).alias("role"), _missing(F.col("n"), F.col("n_all") - F.col("n_small")).alias("below"), _missing(F.col("n"), F.col("n_all")).alias("below_any")))
+        parts.append(n.join(counts, "term").select("term", F.lit(role).alias("role"), _missing(F.col("n"), F.col("n_capital")).alias("below"), _missing(F.col("n"), F.col("n_capital") + F.col("n_small")).alias("below_any")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("term", "role").agg(F.min("below").alias("below"), F.min("below_any").alias("below_any"))
 
 
@@ -388,7 +410,7 @@ def disclosure(counts: DataFrame) -> DataFrame:
     """
     parts = [
         counts.where(F.col(f"n_{role}") > 0).select(
-            "term", F.lit(role).alias("role"), _missing(F.col(f"n_{role}"), F.col("n_all") - F.col("n_small")).alias("below"), _missing(F.col(f"n_{role}"), F.col("n_all")).alias("below_any")
+            "term", F.lit(role).alias("role"), _missing(F.col(f"n_{role}"), F.col("n_capital")).alias("below"), _missing(F.col(f"n_{role}"), F.col("n_capital") + F.col("n_small")).alias("below_any")
         )
         for role in ("given", "family")
     ]
@@ -400,18 +422,30 @@ def places(documents: DataFrame, names: DataFrame) -> DataFrame:
     known = name_list(names)
     docs = documents.where(F.length("text") > 0).select("doc_id", "text")
 
+    n_columns = ["n_capital", "n_small", "n_given", "n_family"]
+    columns = ["doc_id", "pii_type", "span_start", "span_end", "given", "family", "beside", *n_columns]
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Places and waiting forms, and per batch the counts of its terms (type ``term``, the term in ``given``)."""
+        none = (None,) * 4
         for batch in batches:
-            out = []
+            out, seen = [], {}
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 taken = fixed_places(text)
-                out += [(doc_id, kind, a, b, None, None, None) for kind, a, b in taken]
-                out += [(doc_id, "person", *form) for form in person_forms(text, known, taken)]
-            yield pd.DataFrame(out, columns=["doc_id", "pii_type", "span_start", "span_end", "given", "family", "beside"])
-
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, pii_type string, span_start int, span_end int, given string, family string, beside string"
-    found = stored(docs.mapInPandas(find, schema), "places")
-    counts = stored(term_counts(docs, known), "term-counts")
+                out += [(doc_id, kind, a, b, None, None, None, *none) for kind, a, b in taken]
+                ws = _words(text)
+                evidence(text, ws, known, seen)
+                out += [(doc_id, "person", *form, *none) for form in person_forms(text, ws, known, taken)]
+            out += [(None, "term", None, None, term, None, None, *row) for term, row in seen.items()]
+            frame = pd.DataFrame(out, columns=columns)
+            yield frame.astype({c: "Int64" for c in ("span_start", "span_end", *n_columns)} | ({"doc_id": "Int64"} if whole else {}))
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    whole = kind in ("bigint", "int")
+    schema = f"doc_id {kind}, pii_type string, span_start int, span_end int, given string, family string, beside string, " + ", ".join(f"{c} bigint" for c in n_columns)
+    both = stored(docs.mapInPandas(find, schema), "places")
+    found = both.where("pii_type <> 'term'").drop(*n_columns)
+    counts = stored(both.where("pii_type = 'term'").groupBy(F.col("given").alias("term")).agg(*[F.sum(c).alias(c) for c in n_columns]), "term-counts")
     slack = F.when(F.col("beside") == "known", SLACK_KNOWN).when(F.col("beside") == "initial", SLACK_INITIAL).otherwise(SLACK_ALONE)
     result = found.where("given is null and family is null")
     waits = found.where("given is not null or family is not null")
