@@ -358,7 +358,8 @@ def _form(text: str, ws: list, keys: _Keys, i: int, names: Names) -> tuple[int,
             elif caps and kg:
                 return k, None, fk, "known"
             elif caps and kf and not names.is_family(key):
-                return k, key, None, "known"
+                # with an initial between, the initial and the family name are a form of their own
+                return k, key, None, "known" if k == i + 1 else "alone"
             elif caps and k == i + 1 and names.is_given(fk):  # family name first
                 if names.is_family(key):
                     return k, None, None, "known"
@@ -393,7 +394,7 @@ def _missing(n: Column, of: Column) -> Column:
 
 def passed_on(scored: DataFrame, counts: DataFrame, waits: DataFrame) -> DataFrame:
     """``scored`` with the terms that stand beside a disclosing term of the other role: both parts of a name may be unknown."""
-    pairs = waits.where(F.col("beside") == "alone").select("given", "family")
+    pairs = waits.where((F.col("beside") == "alone") & F.col("given").isNotNull() & F.col("family").isNotNull()).select("given", "family")
     parts = [scored]
     for role, other in (("given", "family"), ("family", "given")):
         sure = scored.where((F.col("role") == other) & (F.col("below") <= SLACK_ALONE)).select(F.col("term").alias(other))
