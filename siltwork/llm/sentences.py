@@ -75,7 +75,7 @@ HEADING = re.compile(
     r"|(?=[^\n]{3,60}(?:\n|\Z))\d{1,2}(?:\.\d{1,2}){0,3}\.?[ ](?![^\n]*[.!?,;:…。][ ]*(?:\r?\n|\Z))[^\W\d_a-zß-ÿ][^\n.!?;:]*?)[ ]*:?[^\S\n]*(?=\n|\Z)(?![^\S\n]*\n[^\S\n]*[a-zß-ÿа-я])"
 )
 MIXED_CASE = re.compile(r"[a-z]{1,3}[A-Z]|doi:")
-GLUED_START = re.compile(r"[A-ZÀ-ÞА-Я](?:[\w'’-]*(?:[\s,:;!?]|\Z)|\w+\.\s|\.[a-z]\.)")
+GLUED_START = re.compile(r"[A-ZÀ-ÞА-Я](?:[\w'’-]*(?:[\s,:;!?。、，…（(「“《]|\Z)|\w+\.\s|\.[a-z]\.)|[a-z]{1,3}[A-Z]\w*\s")
 
 # ---- symbols and states ---------------------------------------------------------------------------------------------
 TEXT, END, BLANK, BREAK, LINE, THAI = range(6)
