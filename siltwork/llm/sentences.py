@@ -193,11 +193,13 @@ def _ends(text: str, start: int, end: int) -> int:
             return -1 if same or c == "º" or c == "ª" else end
         if kind == "D" and before.isalpha():
             return end if re.match(r"\d+\s?(?:年|月|日|回|में)", text[at : at + 12]) else -1
-        if kind != "U" or not GLUED_START.match(text, at):
-            return -1
         word = LAST_WORD.search(text, max(0, start - 40), start)
         w = word[0] if word else ""
-        if len(w) < 2 or w in NEVER or "." in w and not re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]|[\w.-]+\.[a-z]{2,5}", w):
+        if kind != "U" or not (GLUED_START.match(text, at) or len(w) > 2 and w.islower() and re.match(r"[A-Z]\.\s[A-Z]", text[at : at + 4])):
+            return -1
+        if not w or len(w) == 1 and word.start() and text[word.start() - 1] in "/·":
+            return end
+        if len(w) < 2 or w in NEVER or "." in w and not re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]|[\w.-]+\.[a-z]{2,10}", w):
             return -1
         if "." in w and re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]", w) and not re.match(r"[A-Z][a-z]+[ ,]", text[at : at + 20]):
             return -1
