@@ -218,6 +218,9 @@ def _ends(text: str, start: int, end: int) -> int:
         return end
     if "'" in w or "’" in w:
         w = re.split(r"['’]", w)[-1]
+    parts = w.split(".")
+    if len(parts) > 1 and len(parts[-2]) > 2:  # glued to the sentence before
+        w = parts[-1]
     if w in NEVER:
         return -1
     if w[-1].isdigit():
