@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from siltwork.functions.text import chunks, sentences
 from siltwork.session import stored
@@ -46,11 +47,12 @@ def diverse(found: DataFrame, n: int = 5) -> DataFrame:
     weight = F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0)
     raw = tf.join(df, ["query_id", "term"]).select(*key, "term", weight.alias("w"))
     norm = raw.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = stored(raw.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("w")), "unit-vectors")
+    unit = raw.join(norm, key).select(*key, "term", (F.col("w") / F.col("norm")).alias("w")).repartition("query_id", "term")
+    unit = unit.persist(StorageLevel.DISK_ONLY)  # keeps its partitioning for the steps; lost parts are made again
     place = F.struct("pos", "chunk")
     sums = many.select(*key, F.lit(0.0).alias("sim"))
     chosen = many.groupBy("query_id").agg(F.min(place).alias("p")).select("query_id", F.lit(0).alias("step"), F.col("p.pos").alias("pos"), F.col("p.chunk").alias("chunk"))
-    spoken = unit.select("query_id").distinct()
+    spoken = stored(tf.select("query_id").distinct(), "spoken")
     picks = [stored(chosen, "picks")]
     for step in range(1, n):
         last = picks[-1]
@@ -62,6 +64,7 @@ def diverse(found: DataFrame, n: int = 5) -> DataFrame:
         best = sums.where(mean < 1.0 - SAME).groupBy("query_id").agg(F.min(F.struct(mean.alias("m"), "pos", "chunk")).alias("p"))
         going = best.join(last.select("query_id"), "query_id", "left_semi")
         picks.append(stored(going.select("query_id", F.lit(step).alias("step"), F.col("p.pos").alias("pos"), F.col("p.chunk").alias("chunk")), "picks"))
+    unit.unpersist()
     selected = picks[0]
     for p in picks[1:]:
         selected = selected.unionByName(p)

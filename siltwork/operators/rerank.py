@@ -21,19 +21,23 @@ def bm25(candidates: DataFrame, doc_tokens: DataFrame, query_terms: DataFrame, k
     """``(query_id, doc_id, score)`` of every candidate that has a document; the collection is the query's candidates.
 
     ``doc_tokens`` has ``(doc_id, tokens)``, ``query_terms`` ``(query_id, term, qtf)``. Frequencies are counted once
-    per document and then meet the candidates; all sums per query are partial before their shuffle. Terms in more than
+    per document and then meet the candidates; all sums per query are partial before their shuffle, and only the terms of
+    the query itself (a text's worth) come together. Terms in more than
     half of the candidates have the mean idf times ``epsilon``. Candidates that match nothing score 0.
     """
     sized = doc_tokens.select("doc_id", F.size("tokens").alias("dl"))
     pairs = candidates.select("query_id", "doc_id").distinct().join(sized, "doc_id")
     stats = pairs.groupBy("query_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     tf = doc_tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    held = pairs.join(tf, "doc_id")
-    df = held.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("df")).join(stats.select("query_id", "n"), "query_id")
-    idf = df.select("query_id", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    floor = idf.groupBy("query_id").agg((F.avg("idf") * epsilon).alias("floor"))
-    idf = idf.join(query_terms, ["query_id", "term"]).join(floor, "query_id").withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))
-    matched = held.join(idf.select("query_id", "term", "idf", "qtf"), ["query_id", "term"]).join(stats, "query_id")
+    df = pairs.select("query_id", "doc_id").join(tf.select("doc_id", "term"), "doc_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    idf = df.join(stats.select("query_id", "n"), "query_id").select("query_id", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    # the mean is over all terms of the candidates, so it is taken before only the query's own terms stay
+    own = query_terms.select("query_id", "term", "qtf")
+    both = idf.join(own, ["query_id", "term"], "left")
+    per_query = both.groupBy("query_id").agg((F.avg("idf") * epsilon).alias("floor"), F.collect_list(F.when(F.col("qtf").isNotNull(), F.struct("term", "qtf", "idf"))).alias("own"))
+    idf = per_query.select("query_id", "floor", F.explode("own").alias("t")).select("query_id", "t.term", "t.qtf", F.when(F.col("t.idf") < 0, F.col("floor")).otherwise(F.col("t.idf")).alias("idf"))
+    wanted = pairs.join(idf.join(stats, "query_id"), "query_id")
+    matched = wanted.join(tf, ["doc_id", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = matched.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return pairs.select("query_id", "doc_id").join(scored, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
