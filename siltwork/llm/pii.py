@@ -212,7 +212,7 @@ def evidence(text: str, ws: list[tuple[str, int, int]], names: Names, seen: dict
                 note(key, FAMILY)
             elif before in (" ", ". ") and prev.casefold() in ALONE:
                 note(key, FAMILY)
-            elif before == ", " and prev[0].isupper() and family(prev.casefold()):
+            elif (before == ", " or before == " " and not w.isascii() and not prev.isascii()) and prev[0].isupper() and family(prev.casefold()):
                 note(key, GIVEN)
         if i + 1 < n:
             k = i + 1
@@ -291,6 +291,8 @@ def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken:
             continue
         form = _form(text, ws, keys, i, names)
         if form is None:
+            if w in family and w.islower() and i and ws[i - 1][0].islower() and len(ws[i - 1][0]) > 2 and text[ws[i - 1][2] : ws[i][1]] == " ":
+                yield ws[i - 1][1], ws[i][2], ws[i - 1][0], w, "small"
             i += 1
             continue
         last, g, f, beside = form
@@ -303,7 +305,8 @@ def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken:
             continue
         if all(end <= x or y <= a for _, x, y in taken):
             yield a, end, g, f, beside
-        i = i + 1 if beside == "alone" else last + 1
+        # a first word that may turn out to be none leaves what follows to forms of its own
+        i = i + 1 if g is not None and beside != "small" else last + 1
 
 
 class _Keys:
@@ -355,6 +358,8 @@ def _form(text: str, ws: list, keys: _Keys, i: int, names: Names) -> tuple[int,
                     return k, None, None, "known"
                 if w.islower() and f.islower():
                     return k, key, fk, "small"
+            elif kg and g == " " and k == i + 1 and w.islower() and f.islower() and len(f) > 2:
+                return k, key, fk, "small"
             elif caps and kg:
                 return k, None, fk, "known"
             elif caps and kf and not names.is_family(key):
@@ -365,6 +370,8 @@ def _form(text: str, ws: list, keys: _Keys, i: int, names: Names) -> tuple[int,
                     return k, None, None, "known"
                 if not w.isascii():
                     return k, None, key, "known"
+            elif caps and k == i + 1 and names.is_family(key) and not w.isascii() and not f.isascii():
+                return k, fk, None, "known"
             elif caps and g == " " and not (titled or names.is_family(key) or names.is_given(fk)):
                 return k, key, fk, "alone"
     if g == "," and i + 1 < n:  # family, given (initial)
