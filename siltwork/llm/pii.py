@@ -57,7 +57,7 @@ PHONE_FORMS = [
 PHONE = re.compile(rf"(?<![{_L}.,/+\-–@#$€_])(?:{'|'.join(PHONE_FORMS)}){_EXT}(?![\d]|[.,/\-]\d|[A-Za-z%])")
 #: Forms that are phones only after a label, and the labels.
 LABELLED_PHONE = re.compile(r"\d{3}[\s.-]\d{2}[\s.-]\d{2}[\s.-]\d{2}|\d{3}[\s.-]\d{3}[\s.-]\d{3}|\d{9,11}")
-BEFORE_PHONE = re.compile(r"(?i)(?:\b(?:tel|tél|tfno|phone|telephone|teléfono|telefon|téléphone|mobile|móvil|fax|call|llame al|appeler le)|тел|电话(?:号码)?|電話(?:番号)?|โทร|फ़ोन)\.?\s?[:：]?\s?$")
+BEFORE_PHONE = re.compile(r"(?i)(?:\b(?:tel|tél|tfno|phone|telephone|teléfono|telefon|téléphone|mobile|móvil|fax|call|llame al|appeler le)|\||тел|电话(?:号码)?|電話(?:番号)?|โทร|फ़ोन)\.?\s?[:：]?\s?$")
 EXTENSION = re.compile(_EXT)
 #: Words before a number that make it something else.
 NOT_PERSONAL = re.compile(

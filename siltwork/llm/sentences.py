@@ -234,10 +234,10 @@ def _ends(text: str, start: int, end: int) -> int:
 
 def _closing(text: str, at: int) -> int:
     """What the closing mark at ``at`` does to a unit, by the marks before it and what follows."""
-    i = at - 1
-    while i >= 0 and text[i] in " \xa0 )]”“»«\"'’」』》）":
+    i, least = at - 1, max(0, at - 16)
+    while i >= least and text[i] in " \xa0 )]”“»«\"'’」』》）":
         i -= 1
-    if i < 0 or text[i] not in _ENDS:
+    if i < least or text[i] not in _ENDS:
         return NO
     nxt = NON_SPACE.search(text, at + 1)
     if nxt is None:

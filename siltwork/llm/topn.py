@@ -20,7 +20,9 @@ def top_items(rows: DataFrame, group: str, item: str, score: str, n: int) -> Dat
     """``(group, item, score, rank)`` of the first ``n`` items of every group."""
     value = F.col(score).cast("double")
     value = F.when(value == 0.0, F.lit(0.0)).otherwise(value)
-    counted = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
-    best = counted.groupBy(group, item).agg(F.max(value).alias("score"))
-    order = Window.partitionBy(group).orderBy(F.col("score").desc(), F.col(item).desc())
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    # names of the caller's columns come back at the end, so they cannot clash with these
+    counted = rows.select(F.col(group).alias("_group"), F.col(item).alias("_item"), value.alias("_score")).where("_group is not null and _item is not null and _score is not null and not isnan(_score)")
+    best = counted.groupBy("_group", "_item").agg(F.max("_score").alias("_score"))
+    order = Window.partitionBy("_group").orderBy(F.col("_score").desc(), F.col("_item").desc())
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return ranked.select(F.col("_group").alias(group), F.col("_item").alias(item), F.col("_score").alias("score"), "rank")
