@@ -101,21 +101,23 @@ def key_quantiles(rows: DataFrame, key: list[str], value: str, quantiles: list[f
     value; then four passes narrow the range by eight bits each: counts per key and bucket, a running sum over the at
     most 256 buckets of a key and quantile, the bucket that reaches the rank. No pass holds a key's rows together.
     """
+    # the caller's names come back at the end, so they cannot clash with the names used here
     counts = stored(
         rows.where(F.col(value).isNotNull())
-        .groupBy(*key, (F.col(value).cast("long") + F.lit(1 << 31)).alias("v"))
+        .groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], (F.col(value).cast("long") + F.lit(1 << 31)).alias("v"))
         .agg(F.count(F.lit(1)).alias("c")),
         "value-counts",
     )
-    per_key = counts.groupBy(*key).agg(F.sum("c").alias("n"))
+    keys = [f"_k{i}" for i in range(len(key))]
+    per_key = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     state = per_key.withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     state = state.withColumn("rank", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("quantile") * F.col("n")))).withColumn("prefix", F.lit(0).cast("long"))
     for shift in (24, 16, 8, 0):
-        bucketed = counts.groupBy(*key, F.shiftright("v", shift).alias("b")).agg(F.sum("c").alias("c"))
-        hit = bucketed.join(state, key).where(F.shiftright("b", 8) == F.col("prefix"))
-        upto = Window.partitionBy(*key, "quantile").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bucketed = counts.groupBy(*keys, F.shiftright("v", shift).alias("b")).agg(F.sum("c").alias("c"))
+        hit = bucketed.join(state, keys).where(F.shiftright("b", 8) == F.col("prefix"))
+        upto = Window.partitionBy(*keys, "quantile").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hit = hit.withColumn("upto", F.sum("c").over(upto))
         state = hit.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank"))).select(
-            *key, "quantile", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("b").alias("prefix")
+            *keys, "quantile", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("b").alias("prefix")
         )
-    return state.select(*key, "quantile", "n", (F.col("prefix") - F.lit(1 << 31)).cast("int").alias("value"))
+    return state.select(*[F.col(k).alias(name) for k, name in zip(keys, key, strict=True)], "quantile", "n", (F.col("prefix") - F.lit(1 << 31)).cast("int").alias("value"))
