@@ -37,6 +37,7 @@ MAX_NAMES = 1_000_000
 _L = "A-Za-z0-9À-ɏ"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
 AT_SIGN = re.compile(r"\s?(?:[@＠]|\[at\]|\(at\))\s?|\sat\s(?=[^\s]{1,63}\sdot\s)", re.I)
+_AT_HINTS = ("@", "＠", "dot", "[at]", "(at)", "DOT", "[AT]", "(AT)")
 BEFORE_AT = re.compile(rf"(?<![{_L}.+_%-])[{_L}](?:[{_L}._%+-]*[{_L}_+-])?$")
 AFTER_AT = re.compile(rf"[{_L}-]+(?:{_DOT}[{_L}-]+)*{_DOT}[A-Za-z]{{2,24}}(?![{_L}])", re.I)
 AFTER_WORD = re.compile(rf"[{_L}-]+(?:\sdot\s[{_L}-]+)*\sdot\s[A-Za-z]{{2,24}}(?![{_L}])", re.I)
@@ -68,7 +69,7 @@ _NUMBER_LABEL = (
     r"|passport (?:number|no\.?)|passport|Reisepass(?:-?Nr\.?)?|Personalausweis(?:-?Nr\.?)?|identity card(?: (?:number|no\.?))?|ID(?: (?:card|number|no\.?))?|patient (?:record|id|number|no\.?)|medical record(?: number)?|MRN|record(?: no\.?)?"
     r"|DNI|NIE|NIF|N[°º] de sécurité sociale|numéro de sécurité sociale|NIR|паспорт|СНИЛС|ИНН|card showed)"
 )
-LONG_NUMBER = re.compile(r"(?<![\d./-])\d(?:[\s./-]?\d){4,16}(?:[\s-]?[A-Za-z](?![A-Za-z]))?(?!\w)")
+LONG_NUMBER = re.compile(rf"(?<![\d./-])\d(?:[\s./-]?\d){{4,16}}(?:[\s-]?[A-Za-z](?![A-Za-z]))?(?![{_L}_\d])")
 BEFORE_NUMBER = re.compile(rf"{_NUMBER_LABEL}\s?(?:[:：#]|is|n\.?º|nr\.?|no\.?)?\s?([A-Za-z]{{1,3}}[\s/-]?)?$")
 ID_FORMS = re.compile(
     r"(?<![\w./-])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]|\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}|\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|PT/\d{4}/\d{2}|M-\d{7}|ZZ\s?\d{4}\s?\d{3}|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d)(?![\w]|[-/]\d)"
@@ -139,14 +140,10 @@ def name_list(names: DataFrame) -> Names:
 
 def _words(text: str) -> list[tuple[str, int, int]]:
     """Words with their places, without a possessive ending."""
-    out = []
-    for m in WORD.finditer(text):
-        w = m[0]
-        if len(w) > 3 and w[-2] in "'’" and w[-1] in "sS":
-            out.append((w[:-2], m.start(), m.end() - 2))
-        else:
-            out.append((w, m.start(), m.end()))
-    return out
+    words = [(m[0], *m.span()) for m in WORD.finditer(text)]
+    if "'s" in text or "’s" in text or "'S" in text or "’S" in text:
+        words = [(w[:-2], a, b - 2) if len(w) > 3 and w[-2] in "'’" and w[-1] in "sS" else (w, a, b) for w, a, b in words]
+    return words
 
 
 def _gap(text: str, a: int, b: int) -> str:
@@ -248,7 +245,7 @@ def fixed_places(text: str) -> list[tuple[str, int, int]]:
         if all(b <= x or y <= a for _, x, y in found):
             found.append((kind, a, b))
 
-    for m in AT_SIGN.finditer(text):
+    for m in AT_SIGN.finditer(text) if any(h in text for h in _AT_HINTS) else ():
         local = BEFORE_AT.search(text, max(0, m.start() - 80), m.start())
         domain = (AFTER_WORD if m[0].strip().lower() == "at" else AFTER_AT).match(text, m.end())
         if local and domain:
@@ -258,6 +255,9 @@ def fixed_places(text: str) -> list[tuple[str, int, int]]:
             for m in form.finditer(text):
                 add("address", *m.span())
     numbers = list(LONG_NUMBER.finditer(text))
+    # every other form of a number has such a run of digits, or one of these beginnings
+    if not numbers and "PT/" not in text and "M-" not in text:
+        return found
     for m in numbers:
         if label := BEFORE_NUMBER.search(text, max(0, m.start() - 48), m.start()):
             add("id_number", label.start(1) if label[1] else m.start(), m.end())
