@@ -37,7 +37,8 @@ MAX_NAMES = 1_000_000
 _L = "A-Za-z0-9À-ɏ"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
 AT_SIGN = re.compile(r"\s?(?:[@＠]|\[at\]|\(at\))\s?|\sat\s(?=[^\s]{1,63}\sdot\s)", re.I)
-_AT_HINTS = ("@", "＠", "dot", "[at]", "(at)", "DOT", "[AT]", "(AT)")
+#: One of these is in every text with such a sign, in small letters.
+_AT_HINTS = ("@", "＠", "dot", "[at]", "(at)")
 BEFORE_AT = re.compile(rf"(?<![{_L}.+_%-])[{_L}](?:[{_L}._%+-]*[{_L}_+-])?$")
 AFTER_AT = re.compile(rf"[{_L}-]+(?:{_DOT}[{_L}-]+)*{_DOT}[A-Za-z]{{2,24}}(?![{_L}])", re.I)
 AFTER_WORD = re.compile(rf"[{_L}-]+(?:\sdot\s[{_L}-]+)*\sdot\s[A-Za-z]{{2,24}}(?![{_L}])", re.I)
@@ -74,6 +75,8 @@ BEFORE_NUMBER = re.compile(rf"{_NUMBER_LABEL}\s?(?:[:：#]|is|n\.?º|nr\.?|no\.?
 ID_FORMS = re.compile(
     r"(?<![\w./-])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]|\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}|\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|PT/\d{4}/\d{2}|M-\d{7}|ZZ\s?\d{4}\s?\d{3}|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d)(?![\w]|[-/]\d)"
 )
+#: What every form of a number above and below has, also with full-width signs and glued extensions.
+SIX_DIGITS = re.compile(r"\d(?:\D{0,3}\d){5}")
 TABLE_ID = re.compile(r"\|\s((?:[A-Z]{1,3}[\s/-]?)?\d(?:[\s./-]?\d){6,14}(?:[\s-]?[A-Z])?)\s\|\s*(?:\n|\Z)")
 
 _CAP = r"[A-ZÀ-Þ][\w'’-]*"
@@ -87,14 +90,14 @@ ADDRESS_FORMS = [
     rf"(?<![\w])(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino|Carrera)\s?(?:de\sla\s|de\slos\s|de\s|del\s)?{_CAP},?\s\d{{1,4}}(?:,\s\d{{1,2}}\.?[ºª°](?:\s?[A-Z](?![\w]))?)?(?:,\s\d{{5}}\s{_CAP})?",
     r"(?<![\w])(?:ул\.|улица|пр\.|проспект|пер\.)\s[А-Я][\w-]+,\s(?:д\.\s?)?\d{1,4}(?:,\sкв\.\s?\d+)?(?:,\s\d{6})?",
 ]
-#: Each form with the words of which a text must have one.
+#: Each form with the words of which a text must have one, each white space of it taken as a blank.
 ADDRESSES = [
     (re.compile(form), hints)
     for form, hints in zip(
         ADDRESS_FORMS,
         (
-            [f"{gap}{x}" for t in "Street St Road Rd Ave Lane Ln Boul Blvd Close Drive Dr. Court Ct Cresc Terr Pl Sq Way Grove Gard Row Hill Park High".split() for x in (t, t.upper()) for gap in " \n"],
-            "straße strasse str. weg platz allee gasse ring damm ufer".split() + ["Am ", "An der", "An\nder", "Am\n", "Im ", "Auf dem", "Zum ", "Zur "],
+            [f" {x}" for t in "Street St Road Rd Ave Lane Ln Boul Blvd Close Drive Dr. Court Ct Cresc Terr Pl Sq Way Grove Gard Row Hill Park High".split() for x in (t, t.upper())],
+            "straße strasse str. weg platz allee gasse ring damm ufer".split() + ["Am ", "An der ", "Im ", "Auf dem ", "Zum ", "Zur "],
             "rue avenue av. place boulevard bd chemin impasse allée quai route cours square".split(),
             "Calle C/ Avda. Avenida Plaza Paseo Camino Carrera".split(),
             "ул. улица пр. проспект пер.".split(),
@@ -245,18 +248,19 @@ def fixed_places(text: str) -> list[tuple[str, int, int]]:
         if all(b <= x or y <= a for _, x, y in found):
             found.append((kind, a, b))
 
-    for m in AT_SIGN.finditer(text) if any(h in text for h in _AT_HINTS) else ():
+    small = text.lower()
+    for m in AT_SIGN.finditer(text) if any(h in small for h in _AT_HINTS) else ():
         local = BEFORE_AT.search(text, max(0, m.start() - 80), m.start())
         domain = (AFTER_WORD if m[0].strip().lower() == "at" else AFTER_AT).match(text, m.end())
         if local and domain:
             add("email", local.start(), domain.end())
+    flat = " ".join(text.split())
     for form, hints in ADDRESSES:
-        if any(h in text for h in hints):
+        if any(h in flat for h in hints):
             for m in form.finditer(text):
                 add("address", *m.span())
     numbers = list(LONG_NUMBER.finditer(text))
-    # every other form of a number has such a run of digits, or one of these beginnings
-    if not numbers and "PT/" not in text and "M-" not in text:
+    if not numbers and not SIX_DIGITS.search(text):
         return found
     for m in numbers:
         if label := BEFORE_NUMBER.search(text, max(0, m.start() - 48), m.start()):

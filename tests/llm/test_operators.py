@@ -164,6 +164,29 @@ PLACES = [
 ]
 
 
+@pytest.mark.parametrize(
+    "text, kind, place",
+    [
+        ("電話は０３－１２３４－５６７８です", "phone", "０３－１２３４－５６７８"),
+        ("Ring (555) 123-4567x1234", "phone", "(555) 123-4567x1234"),
+        ("Ring +1 (555) 123-4567ext. 12", "phone", "+1 (555) 123-4567ext. 12"),
+        ("Ring 01614960123x12", "phone", "01614960123x12"),
+        ("Ring +1-(555)-1234567x9", "phone", "+1-(555)-1234567x9"),
+        ("| AB-1234567 |\n", "id_number", "AB-1234567"),
+        ("| A/12345678 |", "id_number", "A/12345678"),
+        ("card PT/1234/56, paid", "id_number", "PT/1234/56"),
+        ("under QQ657579C.", "id_number", "QQ657579C"),
+        ("x_1 [At] site [Dot] test", "email", "x_1 [At] site [Dot] test"),
+        ("x_1 at site Dot test", "email", "x_1 at site Dot test"),
+        ("at 12 Pine\tRoad now", "address", "12 Pine\tRoad"),
+        ("at 12 Pine\xa0STREET now", "address", "12 Pine\xa0STREET"),
+        ("wohnt Im\nWinkel 12 jetzt", "address", "Im\nWinkel 12"),
+    ],
+)
+def test_hints_leave_out_no_form(text, kind, place):
+    assert [(k, text[a:b]) for k, a, b in pii.fixed_places(text)] == [(kind, place)]
+
+
 def test_places(spark):
     docs = [(i, t) for i, (t, _) in enumerate(PLACES)] + [(100, None), (101, ""), (102, "plain " * 2000), (103, "By week 3 it ended. By then, By now.")]
     names = [("Ana", "given"), ("Osk", "family"), ("Frost", "family"), ("Marsh", "family"), ("Ana", "given"), (None, "given")]
