@@ -175,7 +175,7 @@ CAPITAL, SMALL, GIVEN, FAMILY = range(4)
 def evidence(text: str, ws: list[tuple[str, int, int]], names: Names, seen: dict[str, list[int]]) -> None:
     """Add the words of a text to ``seen``: term to [capital, small, given, family]. Only within a line.
 
-    Words written small are counted only if they are on the list of names: others are no names.
+    Every word written small is counted, as any can be the unlisted part of a name written small.
     """
     given, family, n = names.given, names.is_family, len(ws)
 
@@ -187,8 +187,10 @@ def evidence(text: str, ws: list[tuple[str, int, int]], names: Names, seen: dict
 
     for i, (w, a, b) in enumerate(ws):
         if not w[0].isupper():
-            if w in given or w in names.family:
-                note(w, SMALL)
+            known = w in given or family(w)
+            if known or len(w) > 1 and w.islower():
+                note(w.casefold(), SMALL)
+            if known:
                 if i and ws[i - 1][0].islower():  # both parts of a known name written small
                     prev, before = ws[i - 1][0], text[ws[i - 1][2] : a]
                     if before == " " and prev in given and family(w):
@@ -296,7 +298,7 @@ def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken:
         form = _form(text, ws, keys, i, names)
         if form is None:
             if w in family and w.islower() and i and ws[i - 1][0].islower() and len(ws[i - 1][0]) > 2 and text[ws[i - 1][2] : ws[i][1]] == " ":
-                yield ws[i - 1][1], ws[i][2], ws[i - 1][0], w, "small"
+                yield ws[i - 1][1], ws[i][2], keys[i - 1], w, "small"
             i += 1
             continue
         last, g, f, beside = form

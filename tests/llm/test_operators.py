@@ -203,6 +203,15 @@ def test_places(spark):
     assert "Frost" in {texts[9][r["span_start"] : r["span_end"]] for r in pii.places(df.where(F.col("doc_id") == 9), nothing).collect()}
 
 
+def test_ordinary_words_beside_names_written_small(spark):
+    texts = ["Ask Ana Often or Velor Osk; Ana Velor and Often Osk.", "saw ana often and often osk; ana velor and velor osk; ana osk-lind.", "It often, often is. " * 40, "Ana Osk came."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    names = spark.createDataFrame([("Ana", "given"), ("Osk", "family")], "entry string, kind string")
+    got = sorted((r["doc_id"], texts[r["doc_id"]][r["span_start"] : r["span_end"]]) for r in pii.places(docs, names).collect())
+    capital = [(0, x) for x in ("Ana Often", "Ana Velor", "Often Osk", "Velor Osk")]
+    assert got == capital + [(1, x) for x in ("ana osk-lind", "ana velor", "velor osk")] + [(3, "Ana Osk")]
+
+
 @needs_vocabulary
 def test_ids_in_spark(spark):
     rows = [(1, None), (2, ""), (3, "hello world")]
