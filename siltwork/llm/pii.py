@@ -290,6 +290,7 @@ def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken:
     n, i = len(ws), 0
     keys = _Keys(ws)
     given, family = names.given, names.family
+    unsure = -1  # last word of the forms that may turn out to be none, or fall with one that begins before them
     while i < n:
         w = ws[i][0]
         if len(w) > 1 and w.islower() and w not in given and w not in family and "-" not in w:
@@ -311,8 +312,12 @@ def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken:
             continue
         if all(end <= x or y <= a for _, x, y in taken):
             yield a, end, g, f, beside
-        # a first word that may turn out to be none leaves what follows to forms of its own
-        i = i + 1 if g is not None and beside != "small" else last + 1
+        # a first word that may turn out to be none leaves what follows to forms of its own, and these do the same
+        if i <= unsure or g is not None and beside != "small":
+            unsure = max(unsure, last)
+            i += 1
+        else:
+            i = last + 1
 
 
 class _Keys:
@@ -470,9 +475,23 @@ def places(documents: DataFrame, names: DataFrame) -> DataFrame:
         enough = F.when(F.col("beside") == "small", F.col("below_any") <= SLACK_KNOWN).otherwise(F.col("below") <= slack)
         waits = waits.where(F.col(role).isNull()).unionByName(waits.where(F.col(role).isNotNull()).join(terms, role).where(enough).drop("below", "below_any"))
     spans = result.unionByName(waits).select("doc_id", "pii_type", "span_start", "span_end")
-    # forms of unknown terms may overlap: the first stays
-    earlier = Window.partitionBy("doc_id").orderBy("span_start", F.col("span_end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("upto", F.max("span_end").over(earlier)).where("upto is null or upto <= span_start").drop("upto")
+    return without_overlaps(spans)
+
+
+def without_overlaps(spans: DataFrame) -> DataFrame:
+    """``spans`` (doc_id, pii_type, span_start, span_end) in their order, without those that overlap one kept before.
+
+    Only spans of a run in which each overlaps an earlier one are gone through together; most runs are one span.
+    """
+    earlier = Window.partitionBy("doc_id").orderBy("span_start", F.col("span_end").desc())
+    upto = F.max("span_end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("begins", F.when(upto > F.col("span_start"), 0).otherwise(1))
+    runs = begins.withColumn("run", F.sum("begins").over(earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    span = F.struct("span_start", (-F.col("span_end")).alias("before"), "span_end", "pii_type")
+    lists = runs.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(span)).alias("l"))
+    keep = lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["span_end"] <= x["span_start"]), F.concat(acc, F.array(x))).otherwise(acc)
+    kept = F.when(F.size("l") == 1, F.col("l")).otherwise(F.aggregate("l", F.slice("l", 1, 1), keep))
+    return lists.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.pii_type", "s.span_start", "s.span_end")
 
 
 def replaced(documents: DataFrame, found: DataFrame) -> DataFrame:

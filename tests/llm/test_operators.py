@@ -212,6 +212,27 @@ def test_ordinary_words_beside_names_written_small(spark):
     assert got == capital + [(1, x) for x in ("ana osk-lind", "ana velor", "velor osk")] + [(3, "Ana Osk")]
 
 
+def test_overlaps_with_dropped_places_only(spark):
+    rng = random.Random(8)
+    spans = [(1, "person", 0, 10), (1, "person", 8, 20), (1, "person", 15, 25), (1, "person", 25, 30)]
+    spans += [(d, "person", a, a + rng.randrange(1, 12)) for d in range(2, 8) for a in rng.sample(range(90), 20)]
+    got = {(r[0], r[2], r[3]) for r in pii.without_overlaps(spark.createDataFrame(spans, "doc_id bigint, pii_type string, span_start int, span_end int")).collect()}
+    expected, ends = set(), {}
+    for d, _, a, b in sorted(spans, key=lambda x: (x[0], x[2], -x[3])):
+        if ends.get(d, 0) <= a:
+            expected.add((d, a, b))
+            ends[d] = b
+    assert got == expected and (1, 15, 25) in got
+
+
+def test_names_one_a_line(spark):
+    texts = ["Unlisted Kelström\nMirel Dorvin\nMirel Kelström", "Unlisted Kelström came. Unlisted Kelström left."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    names = spark.createDataFrame([("Mirel", "given"), ("Kelström", "family"), ("Dorvin", "family")], "entry string, kind string")
+    got = sorted((r["doc_id"], r["span_start"], r["span_end"]) for r in pii.places(docs, names).collect())
+    assert [texts[d][a:b] for d, a, b in got] == ["Unlisted Kelström", "Mirel Dorvin", "Mirel Kelström"] + ["Unlisted Kelström"] * 2
+
+
 @needs_vocabulary
 def test_ids_in_spark(spark):
     rows = [(1, None), (2, ""), (3, "hello world")]
