@@ -232,12 +232,20 @@ def _ends(text: str, start: int, end: int) -> int:
     return end
 
 
-def _closing(text: str, at: int) -> int:
-    """What the closing mark at ``at`` does to a unit, by the marks before it and what follows."""
-    i, least = at - 1, max(0, at - 16)
-    while i >= least and text[i] in " \xa0 )]”“»«\"'’」』》）":
-        i -= 1
-    if i < least or text[i] not in _ENDS:
+_CLOSING = frozenset(" \xa0 )]”“»«\"'’」』》）")
+
+
+def _closing(text: str, at: int, last: list[int]) -> int:
+    """What the closing mark at ``at`` does to a unit, by the marks before it and what follows.
+
+    ``last`` has the mark before and the place of the last other character before that one, so a run of marks is
+    passed once. Chunks begin inside a word, so no run goes back beyond one.
+    """
+    i = at - 1
+    while i >= 0 and text[i] in _CLOSING:
+        i = last[1] if i == last[0] else i - 1
+    last[:] = at, i
+    if i < 0 or text[i] not in _ENDS:
         return NO
     nxt = NON_SPACE.search(text, at + 1)
     if nxt is None:
@@ -268,7 +276,7 @@ def symbols(text: str, lo: int, hi: int, first: bool) -> Iterator[tuple[int, int
     def line_start(at: int) -> bool:
         return bool(LIST_ITEM.match(text, at) or HEADING.match(text, at))
 
-    at = lo
+    at, last = lo, [-1, -1]
     if first and line_start(lo):
         yield LINE, 0
     while m := EVENT.search(text, at, hi):
@@ -284,7 +292,7 @@ def symbols(text: str, lo: int, hi: int, first: bool) -> Iterator[tuple[int, int
                 yield END, e
                 b = max(b, e)
         elif what == "mark":
-            yield 6 + 4 * _MARKS.index(text[a]) + _closing(text, a), b
+            yield 6 + 4 * _MARKS.index(text[a]) + _closing(text, a, last), b
         elif what == "thai":
             yield THAI, a
         else:

@@ -47,6 +47,23 @@ def test_chunks_compose_to_the_whole():
         assert (starts, ends) == units(text)
 
 
+@pytest.mark.parametrize("gap", [1, 15, 16, 17, 300, 5000])
+def test_closing_marks_far_behind_the_end(gap):
+    for fill in (" ", "\xa0", "”"):
+        text = "(It rose." + fill * gap + ") Next one."
+        got = [text[a:b] for a, b in zip(*units(text), strict=True)]
+        assert got[-1] == "Next one.", (gap, fill)
+    text = "x" * 30 + ' He said "it rose.' + " " * gap + '" Next one came.'
+    whole, parts = units(text), list(chunks(text, 20, 5))
+    assert [text[a:b] for a, b in zip(*whole, strict=True)][-1] == "Next one came."
+    starts, ends, state = [], [], 0
+    for k, a, b in parts:
+        left = max(0, a - 5)
+        x, y, state = run(text[left:], a - left, b - left, k == 0, state)
+        starts, ends = starts + [i + left for i in x], ends + [i + left for i in y]
+    assert len(parts) > 1 and (starts, ends + [len(text)] * (state != 0)) == whole
+
+
 def test_long_documents_in_spark(spark):
     rng = random.Random(6)
     docs = [(f"d{i}", " ".join(rng.choice(CASES[:12])[0] for _ in range(rng.choice([1, 40])))) for i in range(12)] + [("n", None), ("e", ""), (None, "No id.")]
