@@ -4,6 +4,8 @@ The state is a folder in the shared file system: the records counted so far and,
 of occurrences and record counts. ``apply`` compares the new records with those of the state, aggregates only the
 added, changed and deleted ones into signed changes per term, merges these into the buckets they touch, and writes
 the next version of the state beside the last one, so a lost executor or a failed run leaves the old version whole.
+The manifest of a version is written last and names its tables; a state opened on the folder goes on from the last
+version that has one, whichever session wrote it.
 
 Edge cases: records without a key are none; null and empty texts count as records without terms; very long texts are
 one array at a time; a term that no record holds any more leaves the counts; an empty table gives an empty state.
@@ -22,6 +24,7 @@ BUCKETS = 32
 DELIMITERS = "[ \\t\\n\\x0b\\f\\r,.:;\"']+"
 RARE_BELOW = 3
 COMMON_ABOVE = (30, 100)
+_MANIFEST = "buckets map<int, string>"
 
 
 def terms_of(text: Column) -> Column:
@@ -51,12 +54,24 @@ def first_records(docs: DataFrame) -> DataFrame:
 
 
 class TermState:
-    """Persistent counts in a folder; each version is complete and never changed."""
+    """Persistent counts in a folder; each version is complete and never changed. One writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self.version = spark, folder, 0
+        self.spark, self.folder = spark, folder
+        self.version = max(self._versions("/manifest/*.parquet"), default=0)
         self._paths: dict[int, str] = {}
         self._records: str | None = None
+        if self.version:
+            manifest = self.spark.read.schema(_MANIFEST).parquet(f"{folder}/v{self.version}/manifest").first()
+            self._paths = {b: f"{folder}/{p}" for b, p in manifest["buckets"].items()}
+            self._records = f"{folder}/v{self.version}/records"
+
+    def _versions(self, holding: str = "") -> list[int]:
+        """Numbers of the versions in the folder that hold such a file."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v*{holding}")
+        files = found.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(found)
+        names = [str(f.getPath().toString()).split("/")[-1 - holding.count("/")] for f in files or ()]
+        return [int(n[1:]) for n in names if n[1:].isdigit()]
 
     def records(self) -> DataFrame:
         if self._records is None:
@@ -74,7 +89,8 @@ class TermState:
 
     def apply(self, records: DataFrame) -> TermState:
         """Make ``records`` (key, text; one row per key) the counted ones, by their difference to those before."""
-        new = f"{self.folder}/v{self.version + 1}"
+        version = max(self._versions(), default=0) + 1  # after those that failed runs left without a manifest
+        new = f"{self.folder}/v{version}"
         records.select("key", "text").write.parquet(f"{new}/records")
         now = self.spark.read.schema("key string, text string").parquet(f"{new}/records")
         if self._records is None:
@@ -97,7 +113,9 @@ class TermState:
         place = "counts" if self._paths else "delta"
         kept = {r[0] for r in self.spark.read.schema(schema).parquet(f"{new}/{place}").select("bucket").distinct().collect()} if touched else set()
         self._paths = {b: p for b, p in self._paths.items() if b not in touched} | {b: f"{new}/{place}/bucket={b}" for b in touched if b in kept}
-        self._records, self.version = f"{new}/records", self.version + 1
+        buckets = {b: p.removeprefix(f"{self.folder}/") for b, p in self._paths.items()}
+        self.spark.createDataFrame([(buckets,)], _MANIFEST).coalesce(1).write.parquet(f"{new}/manifest")
+        self._records, self.version = f"{new}/records", version
         return self
 
 

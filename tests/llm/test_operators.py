@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from siltwork.llm import bpe, mixing, pii, terms, topn
+from siltwork.llm import bpe, mixing, pii, queries, terms, topn
 from siltwork.session import scratch_path
 
 VOCABULARY = Path(bpe.TOKENIZERS) / bpe.VOCABULARY
@@ -66,6 +66,29 @@ def test_term_deltas(spark):
     assert state.counts().count() == 0
 
 
+def test_term_state_is_opened_again(spark):
+    folder = scratch_path(spark, "test-terms")
+    first, second = {"a": "x y y", "b": "z", "c": None}, {"a": "x", "b": "z", "d": "y w"}
+    make = lambda r: spark.createDataFrame(list(r.items()), "key string, text string")
+    terms.TermState(spark, folder).apply(make(first))
+    make(first).write.parquet(f"{folder}/v2/records")  # a run that failed
+    for records in (first, second, {}, second):
+        if records is not first:
+            terms.TermState(spark, folder).apply(make(records))
+        again = terms.TermState(spark, folder)
+        assert {r["term"]: (r["n_occurrences"], r["n_records"]) for r in again.counts().collect()} == _counts(records)
+        assert again.n_records() == len(records)
+
+
+def test_found_terms_come_out_of_a_delta(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "x y"), (2, "A ", "x z z"), (3, "b", "x")], "line_no bigint, doc_id string, text string")
+    docs.write.parquet(str(tmp_path / "cord19_trec_covid_docs.parquet"))
+    signs, signed_counts = [], terms.signed_counts
+    monkeypatch.setattr(terms, "signed_counts", lambda rows: signs.append({r["sign"] for r in rows.collect()}) or signed_counts(rows))
+    assert {tuple(r) for r in queries.p3_counts(spark, str(tmp_path)).collect()} == {("x", 2, 2, "rare"), ("y", 1, 1, "rare")}
+    assert signs == [{1}, {1, -1}]
+
+
 def test_term_records(spark):
     rows = [(3, " A1", "late"), (1, "a1", "first"), (2, None, "none"), (4, "b", None)]
     got = {tuple(r) for r in terms.first_records(spark.createDataFrame(rows, "line_no bigint, doc_id string, text string")).collect()}
