@@ -279,35 +279,48 @@ def expand_query(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("title is not null").select("query_id", T.expand_query(F.col("title"), T.words(F.col("narrative"))).alias("query"))
 
 
+def run_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``(query_id, doc_id)``: the distinct pairs of ``run_file``."""
+    return table(spark, folder, "run_file").where("query_id is not null and doc_id is not null").select(id_key("query_id").alias("query_id"), id_key("doc_id").alias("doc_id")).distinct()
+
+
 def rel_join(spark: SparkSession, folder: str) -> DataFrame:
     """The whole candidate list with the relevance of each pair, 0 where it was not judged."""
-    run = table(spark, folder, "run_file").where("query_id is not null and doc_id is not null").select(id_key("query_id").alias("query_id"), id_key("doc_id").alias("doc_id")).distinct()
-    judged = qrels_of(spark, folder)
+    run, judged = run_of(spark, folder), qrels_of(spark, folder)
     pairs = run.unionByName(judged.select("query_id", "doc_id")).distinct()
     return rerank.with_relevance(pairs, judged).select("query_id", "doc_id", "rel")
 
 
-def _bm25(spark: SparkSession, folder: str) -> DataFrame:
-    judged = qrels_of(spark, folder)
+def _bm25(spark: SparkSession, folder: str, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     terms = queries_of(spark, folder).select("query_id", F.explode(T.words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    tokens = docs_of(spark, folder).select("doc_id", T.words(F.lower("text")).alias("tokens"))
-    candidates = judged.join(queries_of(spark, folder).select("query_id"), "query_id", "left_semi")
-    return rerank.with_relevance(rerank.bm25(candidates, tokens, terms), judged)
+    tokens = docs.select("doc_id", T.words(F.lower("text")).alias("tokens"))
+    candidates = pairs.join(queries_of(spark, folder).select("query_id"), "query_id", "left_semi")
+    return rerank.with_relevance(rerank.bm25(candidates, tokens, terms), qrels_of(spark, folder))
+
+
+def _bm25_judged(spark: SparkSession, folder: str) -> DataFrame:
+    return _bm25(spark, folder, qrels_of(spark, folder), docs_of(spark, folder))
+
+
+def bm25_run(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 of every candidate of ``run_file`` with a text in the collection; relevance 0 where it was not judged."""
+    scored = _bm25(spark, folder, run_of(spark, folder), corpus(spark, folder))
+    return scored.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rel")
 
 
 def bm25_rerank(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 of every judged pair among the judged documents of its query."""
-    return _bm25(spark, folder).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rel")
+    return _bm25_judged(spark, folder).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rel")
 
 
 def ndcg(spark: SparkSession, folder: str) -> DataFrame:
     """NDCG of this ranking for every query and cut-off."""
-    per_query = rerank.ndcg(_bm25(spark, folder).withColumn("score", F.round("score", 6)))
+    per_query = rerank.ndcg(_bm25_judged(spark, folder).withColumn("score", F.round("score", 6)))
     return per_query.select("query_id", "cutoff", F.round("ndcg", 6).alias("ndcg"))
 
 
 def ndcg_mean(spark: SparkSession, folder: str) -> DataFrame:
-    per_query = rerank.ndcg(_bm25(spark, folder).withColumn("score", F.round("score", 6)))
+    per_query = rerank.ndcg(_bm25_judged(spark, folder).withColumn("score", F.round("score", 6)))
     return rerank.mean_ndcg(per_query).select("cutoff", F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -330,7 +343,7 @@ QUERIES = {
         dedup_first, dedup_last, dedup_text_first, word_freq, vocab, train_prefix, term_doc_tf, postings, doc_freq, idf, doc_norm, query_tf, tfidf_top100,
         tfidf_zero_fill, oov_unk, bpe_pair_freq, wordpiece_pair_score, bpe_vocab, wordpiece_vocab, bpe_encode, wordpiece_encode, bpe_index_df, qrels_filtered,
         sentence_chunks, first_passage, random_passages, diverse_passages, fewshot_sample, disjoint_examples, prompt, generate, clean_generated,
-        preprocess_tokens, preprocess_lemmas, expand_query, rel_join, bm25_rerank, ndcg, ndcg_mean, shot_sweep,
+        preprocess_tokens, preprocess_lemmas, expand_query, rel_join, bm25_run, bm25_rerank, ndcg, ndcg_mean, shot_sweep,
     )
 }
 

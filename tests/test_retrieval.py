@@ -95,6 +95,20 @@ def test_bm25(spark):
     assert got.keys() == expected.keys() and all(got[k] == pytest.approx(v) for k, v in expected.items())
 
 
+def test_bm25_of_the_run(spark, tmp_path):
+    from siltwork.plans import retrieval
+
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("cord19_trec_covid_docs", [(i, f"D{i}", t, None) for i, t in enumerate(["a b", "b c", "c d", "d e"])], "line_no bigint, doc_id string, title string, abstract string")
+    put("queries_file", [("1", "a", None, None, None), ("2", "c", None, None, None)], "query_id string, title string, description string, narrative string, loaded_at timestamp")
+    put("qrels_file", [(1, "1", "d1", 2)], "line_no bigint, query_id string, doc_id string, rel int")
+    run = [("1", " D0", 0.5), ("1", "d0", None), ("1", "d1", 0.1), ("1", "d2", 0.1), ("1", "gone", 9.0), ("2", "d3", 1.0), ("3", "d0", 1.0), (None, "d0", 1.0)]
+    put("run_file", run, "query_id string, doc_id string, score double")
+    got = {(r["query_id"], r["doc_id"]): (r["score"], r["rel"]) for r in retrieval.QUERIES["bm25_run"](spark, str(tmp_path)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {("1", "d0"): 0, ("1", "d1"): 2, ("1", "d2"): 0, ("2", "d3"): 0}
+    assert got["1", "d0"][0] > 0 and got["1", "d1"][0] == got["1", "d2"][0] == 0
+
+
 def test_ndcg(spark):
     rng = random.Random(3)
     rows = [(f"q{q}", rng.choice([0.5, 1.0, rng.random()]), rng.choice([0, 0, 1, 2])) for q in range(6) for _ in range(rng.randrange(1, 70))] + [("one", 1.0, 3), ("none", 2.0, 0)]
