@@ -1,10 +1,12 @@
 """Splitting oversized texts at natural boundaries (problem 6).
 
-Texts above the limit are taken apart into ranges with halos around them. Workers list the boundaries of their range:
-ends of sentence units (see ``sentences``), white space, and forced places at code points inside long stretches
-without either. The ranges' byte lengths are summed up in order, which turns offsets within a range into offsets within
-the text; the boundary tables of a text, stitched together, decide the cuts; and the pieces are emitted by offset from
-the ranges they touch. Neither step loads a whole text; a text's boundary table is all that comes together.
+Texts above the limit are taken apart into ranges with halos around them (the chunks of ``sentences``). Workers list the
+boundaries of their range: white space, forced places at code points inside long stretches without it, and the symbols
+from which the ends of sentence units follow. One row per range comes together for a text: a prefix scan gives each
+range its state, prefix sums of lengths turn offsets within a range into offsets within the text. Then each range
+completes its boundary table with its ends of units. A text's tables run in order past a window of one limit, which
+decides the cuts, and the pieces are emitted by offset from the ranges they touch. No step loads a whole text or its
+whole boundary table.
 
 A piece ends at the last sentence end that keeps it within the limit, else at the last white space, else at the last
 forced place. The next piece starts at the earliest word within ``OVERLAP`` bytes before that end, so both share what
@@ -16,7 +18,6 @@ is cut inside like any other stretch; sizes are bytes in UTF-8.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -27,113 +28,191 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltwork.llm.sentences import chunk_rows, run, with_states
+from siltwork.llm.sentences import CHUNK, SCANNED, chunk_rows, pack, replayed, scan_chunk, unpack, with_states
 from siltwork.session import stored
 
 #: Largest size of a piece, largest overlap, both in bytes of UTF-8; characters of a range.
-LIMIT, OVERLAP, RANGE = 2000, 200, 1 << 14
+LIMIT, OVERLAP, RANGE = 2000, 200, CHUNK
 FORCED, SPACE, SENTENCE = 0, 1, 2
-_RUN = re.compile(r"\s+")
+#: White space as in Python's str.isspace.
+_SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_IS_SPACE = np.zeros(0x3002, bool)
+_IS_SPACE[_SPACES] = True
 
 
 def ranges(docs: DataFrame, limit: int = LIMIT, size: int = RANGE) -> DataFrame:
-    """Ranges of the texts above ``limit`` bytes, each with the transducer state it starts in."""
-    large = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit))
-    rows = stored(chunk_rows(large, size).repartition("doc_id", "k"), "ranges")
-    only = (F.col("k") == 0) & (F.col("hi") == F.length("part"))
-    return stored(rows.where(only).withColumn("state", F.lit(0)).unionByName(with_states(rows.where(~only))), "ranges")
+    """Ranges of the texts above ``limit`` bytes, as rows of ``chunk_rows``."""
+    return chunk_rows(docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") > limit)), size)
 
 
-def boundaries(part: str, lo: int, hi: int, first: bool, state: int, every: int) -> tuple[int, list[tuple[int, int, int, int, int]]]:
-    """Bytes of the range, and its boundaries ``(end, next start, end byte, next start byte, kind)`` relative to it."""
-    _, ends, _ = run(part, lo, hi, first, state)
-    core = part[lo:hi]
+def byte_offsets(core: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, and the byte each begins at, then the number of all bytes."""
     code = np.frombuffer(core.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
-    found = {}
-    for m in _RUN.finditer(core):  # a long run has places inside
-        for a in range(m.start(), m.end(), every):
-            found[a] = (min(a + every, m.end()), SPACE)
-    for e in ends:
-        e -= lo
-        found[e] = (found[e][0] if e in found else e, SENTENCE)
-    out, before = [], 0
-    for a in [*sorted(found), len(core)]:
-        if at[a] - at[before] > 2 * every:  # forced places in a long stretch
-            for target in range(int(at[before]) + every, int(at[a]), every):
-                c = int(np.searchsorted(at, target))
-                while c < a and unicodedata.combining(core[c]):
-                    c += 1
-                if c < a:
-                    out.append((c, c, int(at[c]), int(at[c]), FORCED))
-        if a in found:
-            b, kind = found[a]
-            out.append((a, b, int(at[a]), int(at[b]), kind))
-            before = b
-    return int(at[-1]), out
-
-
-def boundary_tables(rows: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """``(doc_id, k, base, n_chars, n_bytes, marks)`` of each range; ``marks`` are its boundaries, offsets within it."""
+    return code, np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
+
+
+def spaces(core: str, code: np.ndarray, at: np.ndarray, every: int) -> np.ndarray:
+    """Boundaries ``(end, next start, end byte, next start byte, kind)`` of a range but for the ends of units.
+
+    White space, each long run of it in parts, and places in stretches of more than ``2 * every`` bytes without any.
+    """
+    white = _IS_SPACE[np.minimum(code, 0x3001)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], white, [False]]).astype(np.int8)))
+    a, b = edge[::2], edge[1::2]
+    if len(a) and (b - a).max() > every:
+        a = np.concatenate([np.arange(x, y, every) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        b = np.minimum(a + every, b[np.searchsorted(edge[::2], a, "right") - 1])
+    marks = np.stack([a, b, at[a], at[b], np.full(len(a), SPACE)], axis=1)
+    begin, end = np.concatenate([[0], b]), np.concatenate([a, [len(code)]])
+    forced = []
+    for i in np.flatnonzero(at[end] - at[begin] > 2 * every).tolist():
+        for target in range(int(at[begin[i]]) + every, int(at[end[i]]), every):
+            c = int(np.searchsorted(at, target))
+            while c < end[i] and unicodedata.combining(core[c]):
+                c += 1
+            if c < end[i]:
+                forced.append((c, c, at[c], at[c], FORCED))
+    if forced:
+        marks = np.concatenate([marks, np.array(forced)])
+        marks = marks[np.argsort(marks[:, 0], kind="stable")]
+    return marks.astype(np.int32)
+
+
+def thinned(marks: np.ndarray, limit: int) -> np.ndarray:
+    """Natural boundaries without those between two others at most ``limit`` bytes apart, and the first and last."""
+    natural = marks[marks[:, 4] > FORCED]
+    if len(natural) < 3:
+        return natural
+    ends, starts = natural[:, 2].tolist(), natural[:, 3].tolist()
+    kept = [0]
+    for i in range(1, len(ends) - 1):
+        if ends[i + 1] - starts[kept[-1]] > limit:
+            kept.append(i)
+    return natural[[*kept, len(ends) - 1]]
+
+
+def with_units(marks: np.ndarray, ends: list[int], end_bytes: list[int]) -> np.ndarray:
+    """``marks`` with the ends of units: those at white space are marked so, the others are added."""
+    at = np.searchsorted(marks[:, 0], ends)
+    there = at < len(marks)
+    there[there] = marks[at[there], 0] == np.asarray(ends)[there]
+    marks = marks.copy()
+    marks[at[there], 4] = SENTENCE
+    added = [(e, e, y, y, SENTENCE) for e, y, old in zip(ends, end_bytes, there.tolist(), strict=True) if not old]
+    if added:
+        marks = np.concatenate([marks, np.array(added, np.int32)])
+        marks = marks[np.argsort(marks[:, 0], kind="stable")]
+    return marks
+
+
+def boundary_tables(rows: DataFrame, overlap: int = OVERLAP, limit: int | None = None) -> DataFrame:
+    """``(doc_id, k, last, base, byte_base, n, bytes, first, until, inner, marks)`` of each range.
+
+    ``first`` and ``until`` are the bytes where its first natural boundary ends a stretch and its last one begins one,
+    ``inner`` the longest stretch between two of them. ``marks`` are its boundaries, offsets within it, packed. With a
+    ``limit``, boundaries that make no difference to stretches above it are left out before anything is written.
+    """
     every = max(1, overlap // 2)
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                n, marks = boundaries(r.part, r.lo, r.hi, r.k == 0, r.state, every)
-                out.append((r.doc_id, r.k, r.base, r.hi - r.lo, n, [list(m) for m in marks]))
-            yield pd.DataFrame(out, columns=["doc_id", "k", "base", "n_chars", "n_bytes", "marks"])
+            for d, k, lo, hi, part, last in zip(*[b[c] for c in ("doc_id", "k", "lo", "hi", "part", "last")], strict=True):
+                found, values = scan_chunk(part, lo, hi, k, last)
+                core = part[lo:hi]
+                code, at = byte_offsets(core)
+                marks = spaces(core, code, at, every)
+                # an end beyond the range belongs to a mark that the halo holds; its byte is the range's end
+                end_bytes = at[np.minimum(found[1::3], len(code)).astype(int)] if found else ()
+                out.append((d, k, last, *values, pack((thinned(marks, limit) if limit else marks).ravel()), pack(end_bytes)))
+            yield pd.DataFrame(out, columns=["doc_id", "k", "last", "n", "bytes", "first", "until", "found", "f", "marks", "end_bytes"])
 
-    return rows.mapInPandas(tables, "doc_id string, k int, base int, n_chars int, n_bytes int, marks array<array<int>>")
+    def second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                found, end_bytes = unpack(r.found), unpack(r.end_bytes)
+                byte_of = dict(zip(found[1::3], end_bytes, strict=True))
+                _, ends, _, _ = replayed(found, r.first, r.state, r.start, 0)
+                marks = with_units(np.frombuffer(r.marks, "<i4").reshape(-1, 5), ends, [byte_of[e] for e in ends])
+                natural = marks[marks[:, 4] > FORCED]
+                if len(natural):
+                    gaps = natural[1:, 2] - natural[:-1, 3]
+                    edges = int(natural[0, 2]), int(natural[-1, 3]), int(gaps.max(initial=0))
+                else:
+                    edges = None, None, 0
+                out.append((r.doc_id, r.k, r.last, r.base, r.byte_base, r.n, r.bytes, *edges, b"" if limit else pack(marks.ravel())))
+            frame = pd.DataFrame(out, columns=["doc_id", "k", "last", "base", "byte_base", "n", "bytes", "first", "until", "inner", "marks"])
+            yield frame.astype({"first": "Int64", "until": "Int64"})
+
+    scanned = stored(rows.mapInPandas(first_pass, SCANNED + ", marks binary, end_bytes binary"), "ranges")
+    schema = "doc_id string, k int, last boolean, base bigint, byte_base bigint, n int, bytes int, first int, until int, inner int, marks binary"
+    return with_states(scanned).mapInPandas(second_pass, schema)
 
 
 def oversized(tables: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``(doc_id, unbroken)`` of every text with ranges; only the first and last boundary of a range leave it."""
-    natural = F.filter("marks", lambda m: m[4] > FORCED)
-    inner = F.zip_with(F.slice(natural, 2, F.greatest(F.size(natural) - 1, F.lit(0))), F.slice(natural, 1, F.greatest(F.size(natural) - 1, F.lit(0))), lambda x, y: x[2] - y[3])
-    order = Window.partitionBy("doc_id").orderBy("k")
-    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
-    lone = tables.select(
-        "doc_id", "k", "n_bytes", F.get(natural, F.lit(0))[2].alias("first"), F.try_element_at(natural, F.lit(-1))[3].alias("last"), F.array_max(inner).alias("inner")
-    ).withColumn("byte_base", F.coalesce(F.sum(F.col("n_bytes").cast("long")).over(so_far), F.lit(0).cast("long")))
-    lone = lone.withColumn("before", F.coalesce(F.max(F.col("byte_base") + F.col("last")).over(so_far), F.lit(0).cast("long")))
-    gap = F.greatest(F.coalesce("inner", F.lit(0)), F.coalesce(F.col("byte_base") + F.col("first") - F.col("before"), F.lit(0)))
-    per_text = lone.groupBy("doc_id").agg(
-        F.max(gap).alias("gap"), (F.max(F.col("byte_base") + F.col("n_bytes")) - F.max(F.greatest("before", F.coalesce(F.col("byte_base") + F.col("last"), F.lit(0))))).alias("tail")
-    )
-    return per_text.select("doc_id", (F.greatest("gap", "tail") > limit).cast("int").alias("unbroken"))
+    so_far = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("byte_base")
+    edges = tables.select("doc_id", "k", "last", "inner", (begin + F.col("bytes")).alias("end"), (begin + F.col("first")).alias("first"), (begin + F.col("until")).alias("until"))
+    edges = edges.withColumn("before", F.coalesce(F.max("until").over(so_far), F.lit(0).cast("long")))
+    tail = F.when(F.col("last"), F.col("end") - F.greatest("before", F.coalesce("until", F.lit(0).cast("long"))))
+    longest = F.greatest(F.coalesce("inner", F.lit(0)), F.coalesce(F.col("first") - F.col("before"), F.lit(0)), F.coalesce(tail, F.lit(0)))
+    return edges.groupBy("doc_id").agg((F.max(longest) > limit).cast("int").alias("unbroken"))
 
 
-def cut(marks: np.ndarray, n_chars: int, n_bytes: int, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces ``(start, end, bytes, shared characters, kind of the cut)``; ``marks`` has absolute, sorted boundaries."""
-    end_bytes = marks[:, 2].tolist()
-    natural = marks[marks[:, 4] > FORCED]
-    by_kind = {kind: marks[marks[:, 4] == kind] for kind in (SENTENCE, SPACE, FORCED)}
-    byte_lists = {kind: m[:, 2].tolist() for kind, m in by_kind.items()}
-    start_bytes, forced_bytes = natural[:, 3].tolist(), byte_lists[FORCED]
-    out, start, start_b, prev_end_b, prev_end = [], 0, 0, 0, 0
-    while n_bytes - start_b > limit:
+class Cutter:
+    """Decides the cuts of one text from its ranges in order; holds the boundaries within a limit and an overlap."""
+
+    def __init__(self, limit: int, overlap: int) -> None:
+        self.limit, self.overlap = limit, overlap
+        self.kinds: dict[int, list[list[int]]] = {kind: [] for kind in (FORCED, SPACE, SENTENCE)}
+        self.natural: list[list[int]] = []
+        self.bases: list[tuple[int, int]] = []  # first character and number of ranges
+        self.seen = self.n = self.start = self.start_byte = self.end = self.end_byte = 0
+
+    def feed(self, k: int, base: int, byte_base: int, n: int, size: int, marks: np.ndarray) -> Iterator[tuple]:
+        """Take the next range; pieces ``(start, end, bytes, shared characters, kind, first range, last range)`` that are decided."""
+        self.bases.append((base, k))
+        for a, b, x, y, kind in marks.tolist():
+            mark = [a + base, b + base, x + byte_base, y + byte_base]
+            self.kinds[kind].append(mark)
+            if kind > FORCED:
+                self.natural.append(mark)
+        self.seen, self.n = byte_base + size, base + n
+        while self.seen - self.start_byte > self.limit:
+            yield self._cut()
+
+    def finish(self) -> Iterator[tuple]:
+        """The last piece."""
+        yield (self.start, self.n, self.seen - self.start_byte, max(0, self.end - self.start), -1, *self._ranges(self.start, self.n))
+
+    def _ranges(self, start: int, end: int) -> tuple[int, int]:
+        last = lambda c: self.bases[bisect_right(self.bases, c, key=lambda x: x[0]) - 1][1]
+        return last(start), last(max(start, end - 1))
+
+    def _cut(self) -> tuple:
         for kind in (SENTENCE, SPACE, FORCED):
-            i = bisect_right(byte_lists[kind], start_b + limit) - 1
-            if i >= 0 and byte_lists[kind][i] > prev_end_b:
-                end, nxt, end_b, nxt_b, _ = by_kind[kind][i].tolist()
+            marks = self.kinds[kind]
+            i = bisect_right(marks, self.start_byte + self.limit, key=lambda m: m[2]) - 1
+            if i >= 0 and marks[i][2] > self.end_byte:
+                end, after, end_byte, after_byte = marks[i]
                 break
-        else:  # no place but the limit itself: cannot happen while forced places are closer than the limit
-            raise ValueError(f"no place to cut after byte {start_b} of {end_bytes[-1:]}")
-        out.append((start, end, end_b - start_b, max(0, prev_end - start), kind))
-        i = bisect_left(start_bytes, max(end_b - overlap, start_b + 1))
-        if i < len(start_bytes) and start_bytes[i] < end_b:
-            start, start_b = int(natural[i, 1]), start_bytes[i]
-        else:
-            j = bisect_left(forced_bytes, max(end_b - overlap, start_b + 1))
-            if j < len(forced_bytes) and forced_bytes[j] < end_b:
-                start, start_b = int(by_kind[FORCED][j, 1]), forced_bytes[j]
-            else:
-                start, start_b = nxt, nxt_b
-        prev_end, prev_end_b = end, end_b
-    out.append((start, n_chars, n_bytes - start_b, max(0, prev_end - start), -1))
-    return out
+        else:  # cannot happen while forced places are closer than the limit
+            raise ValueError(f"no place to cut after byte {self.start_byte}")
+        piece = (self.start, end, end_byte - self.start_byte, max(0, self.end - self.start), kind, *self._ranges(self.start, end))
+        least = max(end_byte - self.overlap, self.start_byte + 1)
+        start, start_byte = after, after_byte
+        for starts in (self.natural, self.kinds[FORCED]):
+            i = bisect_left(starts, least, key=lambda m: m[3])
+            if i < len(starts) and starts[i][3] < end_byte:
+                start, start_byte = starts[i][1], starts[i][3]
+                break
+        self.start, self.start_byte, self.end, self.end_byte = start, start_byte, end, end_byte
+        for marks in (*self.kinds.values(), self.natural):
+            del marks[: bisect_left(marks, start_byte, key=lambda m: m[2])]
+        del self.bases[: bisect_right(self.bases, start, key=lambda x: x[0]) - 1]
+        return piece
 
 
 def piece_spans(tables: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -141,36 +220,43 @@ def piece_spans(tables: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -
     if not 0 <= overlap * 2 < limit:
         raise ValueError("the overlap must be less than half the limit")
     names = {FORCED: "forced", SPACE: "space", SENTENCE: "sentence", -1: "end"}
-    order = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    based = tables.withColumn("byte_base", F.coalesce(F.sum(F.col("n_bytes").cast("long")).over(order), F.lit(0)).cast("int"))
-    b, y = F.col("base"), F.col("byte_base")
-    absolute = F.transform("marks", lambda m: F.array(m[0] + b, m[1] + b, m[2] + y, m[3] + y, m[4]))
-    per_text = based.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("k", "base", absolute.alias("m")))).alias("p"), F.sum("n_chars").alias("n_chars"), F.sum("n_bytes").alias("n_bytes")
-    ).select("doc_id", "n_chars", "n_bytes", F.col("p.base").alias("bases"), F.flatten(F.flatten("p.m")).alias("m"))
+    columns = ["doc_id", "piece", "piece_start", "piece_end", "n_bytes", "shared", "cut", "k0", "k1"]
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, piece, cutter = None, 0, Cutter(limit, overlap)
         for batch in batches:
             out = []
+
+            def emit(pieces: Iterator[tuple], out: list = out) -> None:
+                nonlocal piece
+                for s, e, n, shared, kind, k0, k1 in pieces:
+                    out.append((doc, piece, s, e, n, shared, names[kind], k0, k1))
+                    piece += 1
+
             for r in batch.itertuples(index=False):
-                bases = list(r.bases)
-                for i, (s, e, n, shared, kind) in enumerate(cut(np.asarray(r.m, np.int64).reshape(-1, 5), r.n_chars, r.n_bytes, limit, overlap)):
-                    out.append((r.doc_id, i, s, e, n, shared, names[kind], bisect_right(bases, s) - 1, bisect_right(bases, max(s, e - 1)) - 1))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "piece_start", "piece_end", "n_bytes", "shared", "cut", "k0", "k1"])
+                if r.doc_id != doc:
+                    doc, piece, cutter = r.doc_id, 0, Cutter(limit, overlap)
+                emit(cutter.feed(r.k, r.base, r.byte_base, r.n, r.bytes, np.frombuffer(r.marks, "<i4").reshape(-1, 5)))
+                if r.last:
+                    emit(cutter.finish())
+            yield pd.DataFrame(out, columns=columns)
 
-    return per_text.mapInPandas(cuts, "doc_id string, piece int, piece_start int, piece_end int, n_bytes int, shared int, cut string, k0 int, k1 int")
+    # the ranges of a text come in order, a batch at a time
+    ordered = tables.select("doc_id", "k", "last", "base", "byte_base", "n", "bytes", "marks").repartition("doc_id").sortWithinPartitions("doc_id", "k")
+    return ordered.mapInPandas(cuts, "doc_id string, piece int, piece_start int, piece_end int, n_bytes int, shared int, cut string, k0 int, k1 int")
 
 
 def pieces(rows: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """``(doc_id, piece, piece_start, piece_end, n_bytes, shared, cut, text)``: pieces put together from their ranges."""
-    spans = piece_spans(boundary_tables(rows, overlap), limit, overlap)
-    touched = spans.withColumn("k", F.explode(F.sequence("k0", "k1")))
-    joined = touched.join(rows.select("doc_id", "k", "base", "lo", "hi", "part"), ["doc_id", "k"])
-    a = F.greatest(F.col("piece_start") - F.col("base"), F.lit(0)) + F.col("lo")
-    z = F.least(F.col("piece_end") - F.col("base") + F.col("lo"), F.col("hi"))
+    tables = stored(boundary_tables(rows, overlap), "boundaries")
+    touched = piece_spans(tables, limit, overlap).withColumn("k", F.explode(F.sequence("k0", "k1")))
+    core = rows.select("doc_id", "k", F.substr("part", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("core"))
+    joined = touched.join(core, ["doc_id", "k"]).join(tables.select("doc_id", "k", "base", "n"), ["doc_id", "k"])
+    a = F.greatest(F.col("piece_start") - F.col("base"), F.lit(0))
+    z = F.least(F.col("piece_end") - F.col("base"), F.col("n"))
     keys = ["doc_id", "piece", "piece_start", "piece_end", "n_bytes", "shared", "cut"]
     return (
-        joined.select(*keys, "k", F.substr("part", a + 1, z - a).alias("t"))
+        joined.select(*keys, "k", F.substr("core", (a + 1).cast("int"), (z - a).cast("int")).alias("t"))
         .groupBy(*keys)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "").alias("text"))
     )

@@ -56,7 +56,7 @@ def p3_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Current rows of ``docs_file`` with a text above the limit, and whether a stretch of it cannot be cut naturally."""
-    return pieces.oversized(pieces.boundary_tables(pieces.ranges(_current(spark, folder))))
+    return pieces.oversized(pieces.boundary_tables(pieces.ranges(_current(spark, folder)), limit=pieces.LIMIT))
 
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:

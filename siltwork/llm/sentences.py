@@ -3,31 +3,38 @@
 The rules are compiled into a finite transducer: two tables, next state and emission, over the symbols that a local
 scan finds in a text (ends of sentences, blank lines, line breaks, list items and headings at the start of a line,
 quotes and brackets with what follows them). A state says whether a unit is open, whether it is a line of its own, and
-which quotation or bracket it is in, so nothing inside one is split.
+which quotation or bracket it is in, so nothing inside one is split. The depth of brackets is a counter beside the
+tables, without a limit.
 
-A long text is cut into chunks inside words. Each chunk is first a function from state to state, found without
-knowing the state it starts in; the functions of a document are composed by a prefix scan (doubling distances); then
-every chunk, its start state known, emits its own starts and ends of units. No task holds more of a long text than a
-chunk and its surroundings.
+Every text is cut into chunks by the JVM, never beside white space or a mark, so Python sees chunks and their
+surroundings only. One pass over the chunks lists their symbols and makes each a function from the state before it to
+the state after it and the start of the unit that is open there. The functions of a text are composed by a parallel
+prefix scan (up and down a tree of pairs), which gives each chunk its state and open unit; the first chunk of a text
+starts in the state of no unit. Then every chunk emits its units by running its stored symbols through the tables. No
+text is read twice, and no task holds more of a text than a chunk and one function per chunk.
+
+What a short word before a point means is decided by lists of abbreviations and by what stands on both sides.
 
 Edge cases: null, empty and blank texts have no units; rows without ``doc_id`` are left out; of repeated rows one
-counts; an unclosed quotation or bracket ends with its paragraph; a cut-off end is a unit.
+counts; an unclosed quotation or bracket ends with its paragraph; a cut-off end is a unit. A run of white space, marks
+or points is never cut, so a chunk is longer than its size where such a run is.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.session import stored
 
-#: Characters of a chunk; longer texts are taken apart. Surroundings that a decision may look at on either side.
-CHUNK, HALO = 1 << 15, 256
+#: Characters of a chunk, and the surroundings that a decision may look at on either side.
+CHUNK, HALO = 2000, 256
 
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 #: Abbreviations that never end a sentence.
@@ -86,52 +93,73 @@ _NESTED = (8, 9, 10)
 N_SYMBOLS = 6 + 4 * len(_MARKS)
 
 
-def _compile() -> tuple[np.ndarray, np.ndarray]:
-    """Tables ``next[symbol, state]`` and ``emit[symbol, state]`` (1: a unit ends here)."""
-    states: list[tuple] = ["none", "line", "open"]
-    for k in range(len(_KINDS)):
-        for at_start in (0, 1):
-            for depth in (1, 2, 3) if k in _NESTED else (1,):
-                states.append((k, at_start, depth))
-    number = {s: i for i, s in enumerate(states)}
-    opens = {m: next((k for k, p in enumerate(_KINDS) if p[0] == m), None) for m in _MARKS}
-    step, emit = np.zeros((N_SYMBOLS, len(states)), np.uint8), np.zeros((N_SYMBOLS, len(states)), np.uint8)
+#: States that are no bracket, then six (three kinds of brackets, begun inside or at the start of a unit) per depth.
+N_FLAT, N_NESTED = 19, 6
+
 
-    def rule(symbol: int, state: object, to: object, ends: int = 0) -> None:
-        step[symbol, number[state]], emit[symbol, number[state]] = number[to], ends
+def _compile() -> tuple[list[list[int]], list[list[int]]]:
+    """Tables ``next[symbol][state]`` and ``emit[symbol][state]`` (1: a unit ends here) up to depth 2.
+
+    A bracket deeper than that does what it does at depth 2, counted from its own depth.
+    """
+    flat: list = ["none", "line", "open", *[(k, a) for k in range(len(_KINDS)) if k not in _NESTED for a in (0, 1)]]
+    number = {s: i for i, s in enumerate(flat)}
 
-    for s in states:
+    def at_depth(k: int, at_start: int, depth: int) -> int:
+        return N_FLAT + N_NESTED * (depth - 1) + 2 * _NESTED.index(k) + at_start if k in _NESTED else number[k, at_start]
+
+    states = [(s, number[s]) for s in flat[:3]]
+    states += [((k, a, d), at_depth(k, a, d)) for k in range(len(_KINDS)) for a in (0, 1) for d in ((1, 2) if k in _NESTED else (1,))]
+    opens = {m: next((k for k, p in enumerate(_KINDS) if p[0] == m), None) for m in _MARKS}
+    step, emit = [[0] * len(states) for _ in range(N_SYMBOLS)], [[0] * len(states) for _ in range(N_SYMBOLS)]
+
+    for s, at in states:
         inside = isinstance(s, tuple)
-        rule(TEXT, s, "open" if s == "none" else s)
-        rule(END, s, s if s == "line" or inside else "none", int(s in ("none", "open")))
-        rule(BLANK, s, "none", int(s != "none"))
-        rule(BREAK, s, "none" if s == "line" else s, int(s == "line"))
-        rule(LINE, s, "line" if s == "none" else s)
-        rule(THAI, s, "none" if s == "open" else s, int(s == "open"))
+
+        def rule(symbol: int, to: str | int, ends: int = 0, at: int = at) -> None:
+            step[symbol][at], emit[symbol][at] = number[to] if isinstance(to, str) else to, ends
+
+        rule(TEXT, "open" if s == "none" else at)
+        rule(END, at if s == "line" or inside else "none", int(s in ("none", "open")))
+        rule(BLANK, "none", int(s != "none"))
+        rule(BREAK, "none" if s == "line" else at, int(s == "line"))
+        rule(LINE, "line" if s == "none" else at)
+        rule(THAI, "none" if s == "open" else at, int(s == "open"))
         for c, mark in enumerate(_MARKS):
             for follow in (NO, ALWAYS, INSIDE, AT_START):
                 symbol = 6 + 4 * c + follow
                 if not inside:
                     k = opens[mark]
-                    rule(symbol, s, "line" if s == "line" else "open" if k is None else (k, int(s == "none"), 1))
+                    rule(symbol, "line" if s == "line" else "open" if k is None else at_depth(k, int(s == "none"), 1))
                     continue
                 k, at_start, depth = s
                 closes = mark == _KINDS[k][1] or (k == 2 and mark == "”")
                 if closes and depth > 1:
-                    rule(symbol, s, (k, at_start, depth - 1))
+                    rule(symbol, at_depth(k, at_start, depth - 1))
                 elif closes:
                     ends = follow == ALWAYS or (follow == INSIDE and not at_start) or (follow == AT_START and at_start)
-                    rule(symbol, s, "none" if ends else "open", int(ends))
+                    rule(symbol, "none" if ends else "open", int(ends))
                 elif k in _NESTED and mark == _KINDS[k][0]:
-                    rule(symbol, s, (k, at_start, min(3, depth + 1)))
+                    rule(symbol, at_depth(k, at_start, depth + 1))
                 else:
-                    rule(symbol, s, s)
+                    rule(symbol, at)
     return step, emit
 
 
-STEP, EMIT = _compile()
+_STEP, _EMIT = _compile()
+STEP, EMIT = np.array(_STEP, np.int64), np.array(_EMIT, np.int64)
 N_STATES = STEP.shape[1]
-_STEP, _EMIT = STEP.tolist(), EMIT.tolist()
+#: Symbols that may end a unit.
+_MAY_END = EMIT.any(axis=1).tolist()
+
+
+def step(symbol: int, state: int) -> tuple[int, int]:
+    """State after a symbol, and whether a unit ends at it; of states at any depth."""
+    if state < N_STATES:
+        return _STEP[symbol][state], _EMIT[symbol][state]
+    known = N_FLAT + N_NESTED + (state - N_FLAT) % N_NESTED
+    to = _STEP[symbol][known]
+    return to + state - known if to >= N_FLAT else to, _EMIT[symbol][known]
 
 
 def _is_cjk(c: str) -> bool:
@@ -311,133 +339,233 @@ def symbols(text: str, lo: int, hi: int, first: bool) -> Iterator[tuple[int, int
         yield TEXT, 0
 
 
-def function_of(text: str, lo: int, hi: int, first: bool) -> np.ndarray:
-    """The state after ``text[lo:hi]`` for every state before it."""
-    state = np.arange(N_STATES, dtype=np.uint8)
-    for symbol, _ in symbols(text, lo, hi, first):
-        state = STEP[symbol][state]
-    return state
+def scanned(text: str, lo: int, hi: int, first: bool) -> list[int]:
+    """Symbols of ``text[lo:hi]`` as a flat list: symbol, offset of the end, offset of the next character that is not
+    white space within the chunk or -1. Offsets count from ``lo``; symbols that can end nothing have none."""
+    out: list[int] = []
+    before = -1
+    for symbol, end in symbols(text, lo, hi, first):
+        if _MAY_END[symbol]:
+            m = NON_SPACE.search(text, end, hi)
+            out += (symbol, end - lo, m.start() - lo if m else -1)
+        elif symbol != TEXT or before != TEXT:
+            out += (symbol, 0, -1)
+        before = symbol
+    return out
 
 
-def run(text: str, lo: int, hi: int, first: bool, state: int) -> tuple[list[int], list[int], int]:
-    """Starts and ends of units in ``text[lo:hi]`` from a known state, and the state after it."""
-    ends, fresh = [], state == 0
-    for symbol, end in symbols(text, lo, hi, first):
-        if _EMIT[symbol][state]:
-            ends.append(end)
-        state = _STEP[symbol][state]
-    starts = []
-    for at in [lo, *ends] if fresh else ends:
-        if m := NON_SPACE.search(text, at, hi):
-            starts.append(m.start())
-    return starts, ends, state
+#: In place of the start of an open unit: it began before the chunk, or begins in a later one.
+INHERITED, LATER = -2, -1
+
+
+@dataclass
+class Function:
+    """What a chunk does: state before it to state after it, and where the unit open then began.
+
+    The arrays have the states of no bracket, then those of each depth up to the last two, from which on all deeper
+    ones do the same, counted from their own depth.
+    """
+
+    state: np.ndarray
+    start: np.ndarray
+
+    def __call__(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.state)
+        last = n - N_NESTED + (states - N_FLAT) % N_NESTED
+        at = np.where(states < n, states, last)
+        deeper = (self.state[last] - self.state[last - N_NESTED]) // N_NESTED
+        return self.state[at] + (states - at) * deeper, self.start[at]
+
+    @property
+    def depth(self) -> int:
+        """Number of depths in the arrays."""
+        return (len(self.state) - N_FLAT) // N_NESTED
+
+    def then(self, other: Function) -> Function:
+        """This function, then ``other``."""
+        last = np.arange(len(self.state) - N_NESTED, len(self.state))
+        goes_on = self.state[last] != self.state[last - N_NESTED]  # still in the bracket it began in
+        gained = (self.state[last] - last)[goes_on] // N_NESTED
+        depth = max(self.depth, other.depth - int(gained.min()) if goes_on.any() else 0)
+        state, start = self(np.arange(N_FLAT + N_NESTED * depth))
+        after, began = other(state)
+        return Function(after, np.where(began == INHERITED, start, began))
+
+
+def function_of(found: list[int], first: int, base: int = 0) -> Function:
+    """The function of a chunk of the given symbols; ``first`` is its first character that is not white space or -1."""
+    net, least = [0] * len(_NESTED), [0] * len(_NESTED)
+    for symbol in found[::3]:
+        if move := _DEPTH_OF[symbol]:
+            kind, by = move
+            net[kind] += by
+            least[kind] = min(least[kind], net[kind])
+    state = np.arange(N_FLAT + N_NESTED * (2 - min(least)))
+    start = np.full(len(state), INHERITED)
+    start[0] = first + base if first >= 0 else LATER
+    for at in range(0, len(found), 3):
+        symbol = found[at]
+        known = np.where(state < N_STATES, state, N_FLAT + N_NESTED + (state - N_FLAT) % N_NESTED)
+        to = STEP[symbol][known]
+        if _MAY_END[symbol]:
+            nxt = found[at + 2]
+            start[EMIT[symbol][known] > 0] = nxt + base if nxt >= 0 else LATER
+        state = np.where(to >= N_FLAT, to + state - known, to)
+    return Function(state, start)
+
+
+#: Symbols of brackets: their kind, and by how much they change the depth.
+_DEPTH_OF = [None] * 6 + [next(((n, 1 - 2 * i) for n, k in enumerate(_NESTED) for i in (0, 1) if _KINDS[k][i] == m), None) for m in _MARKS for _ in range(4)]
+
+
+def scan(functions: list[Function]) -> tuple[np.ndarray, np.ndarray]:
+    """State and open start before every chunk but the first, whose state is that of no unit.
+
+    A parallel prefix scan: pairs are composed level by level up a tree, then every right half gets its state from the
+    left one on the way down.
+    """
+    levels = [functions]
+    while len(levels[-1]) > 1:
+        f = levels[-1]
+        levels.append([f[i].then(f[i + 1]) if i + 1 < len(f) else f[i] for i in range(0, len(f), 2)])
+    state, start = np.zeros(1, np.int64), np.full(1, LATER)
+    for f in reversed(levels[:-1]):
+        n = len(f)
+        down_state, down_start = np.empty(n, np.int64), np.empty(n, np.int64)
+        down_state[::2], down_start[::2] = state, start
+        for i in range(1, n, 2):
+            s, b = f[i - 1](state[i // 2 : i // 2 + 1])
+            down_state[i], down_start[i] = s[0], start[i // 2] if b[0] == INHERITED else b[0]
+        state, start = down_state, down_start
+    return state, start
+
+
+def replayed(found: list[int], first: int, state: int, start: int, base: int) -> tuple[list[int], list[int], int, int]:
+    """Starts and ends of the units that end in a chunk, the state after it and the start of the unit open then."""
+    starts, ends = [], []
+    if start == LATER and state == 0:
+        start = first + base if first >= 0 else LATER
+    for at in range(0, len(found), 3):
+        state, emits = step(found[at], state)
+        if emits:
+            starts.append(start)
+            ends.append(found[at + 1] + base)
+            start = found[at + 2] + base if found[at + 2] >= 0 else LATER
+    return starts, ends, state, start
 
 
 def units(text: str | None) -> tuple[list[int], list[int]]:
     """Starts and ends of the units of a whole text."""
     if not text:
         return [], []
-    starts, ends, state = run(text, 0, len(text), True, 0)
+    m = NON_SPACE.search(text)
+    starts, ends, state, start = replayed(scanned(text, 0, len(text), True), m.start() if m else -1, 0, LATER, 0)
     if state:
+        starts.append(start)
         ends.append(len(text.rstrip()))
     return starts, ends
 
 
-_INSIDE_WORD = re.compile(r"(?<=[^\W_])[^\W_]")
+#: Characters beside which a text is never cut: white space, ends, marks and what may follow them.
+_UNCUT = r"\s\p{Z}\x{1c}-\x{1f}" + _ENDS + re.escape(_MARKS) + "’'‘"
+_CUT = f"(?<=[^{_UNCUT}])(?=[^{_UNCUT}])"
 
 
-def chunks(text: str, size: int, halo: int) -> Iterator[tuple[int, int, int]]:
-    """``(number, start, end)`` of pieces of about ``size`` characters, cut inside words; ``halo`` is kept around them."""
-    start, k = 0, 0
-    while start < len(text):
-        m = _INSIDE_WORD.search(text, start + size) if start + size + halo < len(text) else None
-        end = m.start() if m else len(text)
-        yield k, start, end
-        start, k = end, k + 1
+def cut_text(text: Column, size: int) -> Column:
+    """``text`` as an array of chunks of ``size`` characters and on to the next place where it may be cut."""
+    parts = F.regexp_extract_all(text, F.lit(rf"(?sU).{{{size}}}.*?{_CUT}|.+"), F.lit(0))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(parts)
 
 
-def chunk_rows(docs: DataFrame, size: int, halo: int = HALO) -> DataFrame:
-    """Rows ``(doc_id, k, base, lo, hi, part)``: chunk ``k`` is ``part[lo:hi]`` and starts at ``base`` of its text."""
+def chunk_rows(docs: DataFrame, size: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """Rows ``(doc_id, k, lo, hi, part, last)``: chunk ``k`` of a text is ``part[lo:hi]``, ``last`` says that it ends the text.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                rows, block = [], 0
-                for k, start, end in chunks(text, size, halo):
-                    # the halo ends inside a word too, so a run of spaces or marks is seen whole
-                    m = _INSIDE_WORD.search(text, end + halo) if end + halo < len(text) else None
-                    left, right = max(0, start - halo), m.start() if m else len(text)
-                    rows.append((doc_id, k, start, start - left, end - left, text[left:right]))
-                    block += right - left
-                    if block > 1 << 22:
-                        yield pd.DataFrame(rows, columns=["doc_id", "k", "base", "lo", "hi", "part"])
-                        rows, block = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "k", "base", "lo", "hi", "part"])
+    A halo ends where a text may be cut too, so a run of spaces or marks is seen whole.
+    """
+    p = F.col("p")
+    ahead = lambda x: F.regexp_extract(x, rf"(?sU)\A(?:.{{{halo}}}.*?{_CUT}|.*)", 0)
+    rows = docs.select("doc_id", cut_text(F.col("text"), size).alias("p")).select("doc_id", "p", F.posexplode("p").alias("k", "core"))
+    left = F.when(F.col("k") > 0, F.substring(F.get(p, F.col("k") - 1), -halo, halo)).otherwise("")
+    right = F.when(F.col("k") + 1 < F.size(p), ahead(F.get(p, F.col("k") + 1))).otherwise("")
+    rows = rows.select("doc_id", "k", F.length(left).alias("lo"), F.length("core").alias("n"), F.concat(left, "core", right).alias("part"), (F.col("k") + 1 == F.size(p)).alias("last"))
+    return rows.select("doc_id", "k", "lo", (F.col("lo") + F.col("n")).alias("hi"), "part", "last")
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id string, k int, base int, lo int, hi int, part string")
 
+_PACKED = np.dtype("<i8")
 
-def scan(functions: np.ndarray) -> np.ndarray:
-    """Start state of every chunk: functions (chunks x states) composed by an inclusive prefix scan, then shifted."""
-    f, d = functions.copy(), 1
-    while d < len(f):
-        f[d:] = np.take_along_axis(f[d:], f[:-d].astype(np.intp), axis=1)
-        d *= 2
-    return np.concatenate([[0], f[:-1, 0]]).astype(np.int32)
 
+def pack(values: list[int] | np.ndarray) -> bytes:
+    return np.asarray(values, "<i4").tobytes()
 
-def with_states(rows: DataFrame) -> DataFrame:
-    """Chunk rows with the ``state`` each starts in. Only the functions (one byte per state) come together per text."""
 
-    def functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            f = [function_of(p, lo, hi, k == 0).tobytes() for p, lo, hi, k in zip(b["part"], b["lo"], b["hi"], b["k"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "k": b["k"], "f": f})
+def unpack(data: bytes) -> list[int]:
+    return np.frombuffer(data, "<i4").tolist()
+
+
+#: Columns of a scanned chunk: characters, bytes, first and after the last character that is not white space, symbols,
+#: its function (none where a text is one chunk).
+SCANNED = "doc_id string, k int, last boolean, n int, bytes int, first int, until int, found binary, f binary"
+
+
+def scan_chunk(text: str, lo: int, hi: int, k: int, last: bool) -> tuple[list[int], tuple]:
+    """Symbols of a chunk, and the values of ``SCANNED`` from ``n`` on."""
+    found = scanned(text, lo, hi, k == 0)
+    core = text[lo:hi]
+    until = len(core.rstrip())
+    first = until - len(core[:until].lstrip()) if until else -1
+    f = b""
+    if k or not last:
+        made = function_of(found, first)
+        f = np.concatenate([made.state, made.start]).astype(_PACKED).tobytes()
+    return found, (hi - lo, len(core.encode()), first, until, pack(found), f)
+
+
+def with_states(rows: DataFrame) -> DataFrame:
+    """Scanned chunks with ``base``, ``byte_base``, ``state`` and ``start`` before each. Of a text only its functions
+    come together, some hundred bytes a chunk, and not the first chunk's row, whose state is known."""
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc_id, fs in zip(b["doc_id"], b["fs"], strict=True):
-                table = np.stack([np.frombuffer(x["f"], np.uint8) for x in fs])
-                yield pd.DataFrame({"doc_id": doc_id, "k": np.arange(len(fs), dtype=np.int32), "state": scan(table)})
-
-    per_chunk = rows.mapInPandas(functions, "doc_id string, k int, f binary")
-    per_text = per_chunk.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "f"))).alias("fs"))
-    return rows.join(per_text.mapInPandas(states, "doc_id string, k int, state int"), ["doc_id", "k"])
+            for doc_id, chunks in zip(b["doc_id"], b["chunks"], strict=True):
+                n = np.array([x["n"] for x in chunks], np.int64)
+                size = np.array([x["bytes"] for x in chunks], np.int64)
+                base, functions = np.cumsum(n) - n, []
+                for x, at in zip(chunks, base.tolist(), strict=True):
+                    state, start = np.frombuffer(x["f"], _PACKED).reshape(2, -1)
+                    functions.append(Function(state, np.where(start >= 0, start + at, start)))
+                state, start = scan(functions)
+                frame = pd.DataFrame({"doc_id": doc_id, "k": np.arange(len(n), dtype=np.int32), "base": base, "byte_base": np.cumsum(size) - size, "state": state, "start": start})
+                yield frame.iloc[1:]
+
+    known = "base bigint, byte_base bigint, state bigint, start bigint"
+    longer = rows.where("k > 0 or not last").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "n", "bytes", "f"))).alias("chunks"))
+    later = rows.where("k > 0").join(longer.mapInPandas(states, f"doc_id string, k int, {known}"), ["doc_id", "k"])
+    none = {"base": 0, "byte_base": 0, "state": 0, "start": LATER}
+    return rows.where("k = 0").withColumns({c: F.lit(v).cast("long") for c, v in none.items()}).unionByName(later)
 
 
 def sentence_units(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     """``(doc_id, sent_start, sent_end)`` of documents ``(doc_id, text)`` with unique ids."""
     docs = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    long_ = F.length("text") > size + HALO
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(d, k, last, *scan_chunk(p, lo, hi, k, last)[1]) for d, k, lo, hi, p, last in zip(*[b[c] for c in ("doc_id", "k", "lo", "hi", "part", "last")], strict=True)]
+            yield pd.DataFrame(out, columns=["doc_id", "k", "last", "n", "bytes", "first", "until", "found", "f"])
+
+    def second_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, starts, ends = [], [], []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                s, e = units(text)
-                ids += [doc_id] * len(s)
+            for r in b.itertuples(index=False):
+                s, e, state, start = replayed(unpack(r.found), r.first, r.state, r.start, r.base)
+                if r.last and state:
+                    s.append(start)
+                    e.append(r.base + r.until)
+                ids += [r.doc_id] * len(s)
                 starts += s
                 ends += e
             yield pd.DataFrame({"doc_id": ids, "sent_start": np.array(starts, np.int32), "sent_end": np.array(ends, np.int32)})
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                s, e, state = run(r.part, r.lo, r.hi, r.k == 0, r.state)
-                off = r.base - r.lo
-                last = off + len(r.part[: r.hi].rstrip())
-                out.append((r.doc_id, r.k, [x + off for x in s], [x + off for x in e], last, state != 0))
-            yield pd.DataFrame(out, columns=["doc_id", "k", "s", "e", "last", "open"])
-
-    schema = "doc_id string, sent_start int, sent_end int"
-    short = docs.where(~long_).select("doc_id", "text").mapInPandas(whole, schema)
-    # chunks of one text go to different tasks; written once, as two passes read them
-    rows = stored(chunk_rows(docs.where(long_), size).repartition("doc_id", "k"), "chunks")
-    parts = with_states(rows).mapInPandas(part, "doc_id string, k int, s array<int>, e array<int>, last int, open boolean")
-    stitched = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "s", "e"))).alias("p"), F.max("last").alias("last"), F.max_by("open", "k").alias("open"))
-    ends = F.flatten(F.col("p.e"))
-    ends = F.when(F.col("open"), F.array_append(ends, F.col("last"))).otherwise(ends)
-    spans = stitched.select("doc_id", F.explode(F.arrays_zip(F.flatten(F.col("p.s")).alias("s"), ends.alias("e"))).alias("u"))
-    return short.unionByName(spans.select("doc_id", F.col("u.s").alias("sent_start"), F.col("u.e").alias("sent_end")))
+    # written once, as the functions and the symbols are read apart
+    rows = stored(chunk_rows(docs, size).mapInPandas(first_pass, SCANNED), "chunks")
+    return with_states(rows).select("doc_id", "last", "first", "until", "found", "base", "state", "start").mapInPandas(second_pass, "doc_id string, sent_start int, sent_end int")

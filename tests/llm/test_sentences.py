@@ -1,9 +1,12 @@
 import random
+import re
+from bisect import bisect_left
 
+import numpy as np
 import pytest
 
 from siltwork.llm import pieces, sentences
-from siltwork.llm.sentences import N_STATES, chunks, function_of, run, scan, sentence_units, units
+from siltwork.llm.sentences import Function, replayed, scan, scan_chunk, sentence_units, units, unpack
 
 CASES = [
     ("The dose was 5.5 mg at 5 p.m. It was sold by Dr. Frost et al. for $4.1 million.", ["The dose was 5.5 mg at 5 p.m.", "It was sold by Dr. Frost et al. for $4.1 million."]),
@@ -28,23 +31,50 @@ def test_units(text, expected):
     assert [text[a:b] for a, b in zip(*units(text), strict=True)] == expected
 
 
+def in_chunks(text, size, halo):
+    """Units by way of chunks: functions, scan, replay; cut beside letters only."""
+    places = [m.start() for m in re.finditer(r"(?<=[^\W_])[^\W_]", text)]
+    cuts = [0]
+    while (at := bisect_left(places, cuts[-1] + size)) < len(places):
+        cuts.append(places[at])
+    cuts.append(len(text))
+    parts, functions, base = [], [], []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        left = max(0, a - halo)
+        at = bisect_left(places, b + halo)
+        right = places[at] if at < len(places) else len(text)
+        found, (n, _, first, until, packed, f) = scan_chunk(text[left:right], a - left, b - left, k, False)
+        assert unpack(packed) == found and n == b - a
+        state, start = np.frombuffer(f, np.int64).reshape(2, -1)
+        functions.append(Function(state, np.where(start >= 0, start + a, start)))
+        parts.append((found, first, a, a + until))
+    starts, ends = [], []
+    for (found, first, a, until), state, start in zip(parts, *(x.tolist() for x in scan(functions)), strict=True):
+        s, e, state, start = replayed(found, first, state, start, a)
+        starts, ends = starts + s, ends + e
+    if state:
+        starts.append(start)
+        ends.append(until)
+    return starts, ends
+
+
 def test_chunks_compose_to_the_whole():
     rng = random.Random(5)
-    for _ in range(60):
+    for _ in range(120):
         text = rng.choice(["", " ", "\n"]).join(rng.choice(CASES[:12])[0] for _ in range(12)) + rng.choice(["", " ", " ( x", "\n"])
-        parts = list(chunks(text, 40, 30))
-        functions = [function_of(text, a, b, k == 0) for k, a, b in parts]
-        assert len(functions[0]) == N_STATES
-        import numpy as np
+        for size in (7, 40, 150):
+            assert in_chunks(text, size, 80) == units(text)
+
 
-        states = scan(np.stack(functions))
-        starts, ends, last = [], [], 0
-        for (k, a, b), s in zip(parts, states, strict=True):
-            x, y, last = run(text, a, b, k == 0, int(s))
-            starts, ends = starts + x, ends + y
-        if last:
-            ends.append(len(text.rstrip()))
-        assert (starts, ends) == units(text)
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5, 60])
+def test_brackets_of_any_depth(depth):
+    rng = random.Random(depth)
+    text = "It (" + "see (deep. One " * (depth - 1) + "three. Four five." + " end) It. Then" * (depth - 1) + ") rose. Next one."
+    assert [text[a:b] for a, b in zip(*units(text), strict=True)][-1] == "Next one." and len(units(text)[0]) == 2
+    for _ in range(20):
+        text = "".join(rng.choice(["(a. B ", "x) C. D", "[e. F ", "] g. H ", "so. It ", "\n\n", "（i. ", "）J. "] + ["(k. L "] * (depth % 7)) for _ in range(3 * depth + 5))
+        for size in (5, 30):
+            assert in_chunks(text, size, 60) == units(text), text
 
 
 @pytest.mark.parametrize("gap", [1, 15, 16, 17, 300, 5000])
@@ -54,22 +84,19 @@ def test_closing_marks_far_behind_the_end(gap):
         got = [text[a:b] for a, b in zip(*units(text), strict=True)]
         assert got[-1] == "Next one.", (gap, fill)
     text = "x" * 30 + ' He said "it rose.' + " " * gap + '" Next one came.'
-    whole, parts = units(text), list(chunks(text, 20, 5))
+    whole = units(text)
     assert [text[a:b] for a, b in zip(*whole, strict=True)][-1] == "Next one came."
-    starts, ends, state = [], [], 0
-    for k, a, b in parts:
-        left = max(0, a - 5)
-        x, y, state = run(text[left:], a - left, b - left, k == 0, state)
-        starts, ends = starts + [i + left for i in x], ends + [i + left for i in y]
-    assert len(parts) > 1 and (starts, ends + [len(text)] * (state != 0)) == whole
+    assert in_chunks(text, 20, 5) == whole
 
 
 def test_long_documents_in_spark(spark):
     rng = random.Random(6)
     docs = [(f"d{i}", " ".join(rng.choice(CASES[:12])[0] for _ in range(rng.choice([1, 40])))) for i in range(12)] + [("n", None), ("e", ""), (None, "No id.")]
-    got = sentence_units(spark.createDataFrame(docs, "doc_id string, text string"), size=300).collect()
+    docs += [("long", "x y. Z " * 3000), ("spaces", "One." + " " * 9000 + "Two."), ("marks", "So (" + '("' * 2000 + "end.")]
     expected = {(d, a, b) for d, t in docs if d and t for a, b in zip(*units(t), strict=True)}
-    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    for size in (300, 2000):
+        got = sentence_units(spark.createDataFrame(docs, "doc_id string, text string"), size=size).collect()
+        assert len(got) == len(expected) and {tuple(r) for r in got} == expected
 
 
 def test_pieces(spark):
