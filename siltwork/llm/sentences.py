@@ -67,11 +67,11 @@ resumen|introducción|antecedentes|objetivos?|métodos?|material y métodos|resu
 _ENDS = ".!?…。！？।॥؟۔｡"
 _MARKS = '"“”„«»「」『』《》()[]（）'
 _THAI = "฀-๏๚-๿"
-_SPACE_RUN = r"(?<!\s)[^\S\n]*\n\s*"
-EVENT = re.compile(
-    rf"(?P<nl>{_SPACE_RUN})|(?P<end>(?:[!?…。！？।॥؟۔｡]|\.(?!\d)|(?<!\d)\.)[{_ENDS}]*)|(?P<mark>[{re.escape(_MARKS)}])"
-    rf"|(?P<thai>(?<=[฀-๏๚-๿])(?<!ๆ)[^\S\n]+(?![\s\dA-Za-zÀ-ɏๆ]))"
-)
+#: Where something may happen: line breaks, ends and marks; in Thai also white space.
+EVENT = re.compile(rf"[\n{_ENDS}{re.escape(_MARKS)}]")
+EVENT_THAI = re.compile(rf"[\n{_ENDS}{re.escape(_MARKS)}]|(?<=[{_THAI}])(?<!ๆ)[^\S\n]+(?![\s\dA-Za-zÀ-ɏๆ])")
+THAI_CHAR = re.compile(f"[{_THAI}]")
+END_RUN = re.compile(f"[{_ENDS}]+")
 NON_SPACE = re.compile(r"\S")
 _WORD = r"[\wऀ-ॣ॰-ॿ฀-๎'’\-]"
 LAST_WORD = re.compile(rf"{_WORD}+(?:\.{_WORD}+)*\Z")
@@ -147,10 +147,11 @@ def _compile() -> tuple[list[list[int]], list[list[int]]]:
 
 
 _STEP, _EMIT = _compile()
-STEP, EMIT = np.array(_STEP, np.int64), np.array(_EMIT, np.int64)
-N_STATES = STEP.shape[1]
+N_STATES = len(_STEP[0])
+#: Of each symbol the states that it changes or ends a unit in.
+_MOVES = [[(s, to, e) for s, (to, e) in enumerate(zip(*rows, strict=True)) if e or to != s] for rows in zip(_STEP, _EMIT, strict=True)]
 #: Symbols that may end a unit.
-_MAY_END = EMIT.any(axis=1).tolist()
+_MAY_END = [any(row) for row in _EMIT]
 
 
 def step(symbol: int, state: int) -> tuple[int, int]:
@@ -186,6 +187,12 @@ def _next_kind(text: str, at: int) -> str:
     return "l"
 
 
+def _last_word(text: str, end: int) -> re.Match | None:
+    """The word before ``end``, if one ends there, as far as the surroundings go."""
+    lo = max(0, end - HALO)
+    return LAST_WORD.search(text, max(lo, text.rfind(" ", lo, end)), end)
+
+
 def _ends(text: str, start: int, end: int) -> int:
     """The offset after the marks that end a sentence in ``text[start:end]``, or -1 if it goes on."""
     run = text[start:end]
@@ -198,7 +205,7 @@ def _ends(text: str, start: int, end: int) -> int:
         return -1  # what closes decides
     glued = not c.isspace()
     last = run[-1]
-    if any(x in "。！？｡।॥۔" for x in run):
+    if run != "." and any(x in "。！？｡।॥۔" for x in run):
         return end
     before = text[start - 1] if start else " "
     m = None if glued else NON_SPACE.search(text, end)
@@ -221,7 +228,7 @@ def _ends(text: str, start: int, end: int) -> int:
             return -1 if same or c == "º" or c == "ª" else end
         if kind == "D" and before.isalpha():
             return end if re.match(r"\d+\s?(?:年|月|日|回|में)", text[at : at + 12]) else -1
-        word = LAST_WORD.search(text, max(0, start - 40), start)
+        word = _last_word(text, start)
         w = word[0] if word else ""
         if kind != "U" or not (GLUED_START.match(text, at) or len(w) > 2 and w.islower() and re.match(r"[A-Z]\.\s[A-Z]", text[at : at + 4])):
             return -1
@@ -240,7 +247,7 @@ def _ends(text: str, start: int, end: int) -> int:
         return end
     if len(run) > 1 or last == "…":
         return end
-    word = LAST_WORD.search(text, max(0, start - 40), start)
+    word = _last_word(text, start)
     w = word[0].lstrip("'’-") if word else ""
     if not w:
         return end
@@ -304,37 +311,46 @@ def symbols(text: str, lo: int, hi: int, first: bool) -> Iterator[tuple[int, int
     def line_start(at: int) -> bool:
         return bool(LIST_ITEM.match(text, at) or HEADING.match(text, at))
 
-    at, last = lo, [-1, -1]
+    at, pos, last = lo, lo, [-1, -1]
+    search = (EVENT_THAI if THAI_CHAR.search(text, lo, hi) else EVENT).search
     if first and line_start(lo):
         yield LINE, 0
-    while m := EVENT.search(text, at, hi):
+    while m := search(text, pos, hi):
         a, b = m.span()
+        c = text[a]
+        if c == "." and a and text[a - 1].isdigit() and text[a + 1 : a + 2].isdigit():  # inside a number
+            pos = b
+            continue
+        if c == "\n":
+            while a > at and text[a - 1].isspace():
+                a -= 1
+            after = NON_SPACE.search(text, b, hi)
+            b = after.start() if after else hi
         if a > at and (not text[at].isspace() or NON_SPACE.search(text, at, a)):
             yield TEXT, 0
-        what = m.lastgroup
-        if what == "end":
+        if c in _ENDS:
+            b = END_RUN.match(text, a, hi).end()
             e = _ends(text, a, b)
             if e < 0:
                 yield TEXT, 0
             else:
                 yield END, e
                 b = max(b, e)
-        elif what == "mark":
-            yield 6 + 4 * _MARKS.index(text[a]) + _closing(text, a, last), b
-        elif what == "thai":
+        elif c in _MARKS:
+            yield 6 + 4 * _MARKS.index(c) + _closing(text, a, last), b
+        elif c != "\n":
             yield THAI, a
         else:
             if text.count("\n", a, b) > 1:
                 yield BLANK, a
             else:
-                thai = a and ("฀" <= text[a - 1] <= "๏" or "๚" <= text[a - 1] <= "๿") and text[a - 1] != "ๆ"
-                if thai and b < len(text) and not re.match(r"[\dA-Za-zÀ-ɏๆ]", text[b]):
+                if a and THAI_CHAR.match(text[a - 1]) and text[a - 1] != "ๆ" and b < len(text) and not re.match(r"[\dA-Za-zÀ-ɏๆ]", text[b]):
                     yield THAI, a
                 yield BREAK, a
             line = text.rfind("\n", a, b) + 1
             if line_start(line):
                 yield LINE, 0
-        at = b
+        at = pos = b
     if at < hi and NON_SPACE.search(text, at, hi):
         yield TEXT, 0
 
@@ -376,6 +392,14 @@ class Function:
         deeper = (self.state[last] - self.state[last - N_NESTED]) // N_NESTED
         return self.state[at] + (states - at) * deeper, self.start[at]
 
+    def at(self, state: int) -> tuple[int, int]:
+        """The same of one state."""
+        n = len(self.state)
+        if state < n:
+            return int(self.state[state]), int(self.start[state])
+        to, start = self(np.array([state]))
+        return int(to[0]), int(start[0])
+
     @property
     def depth(self) -> int:
         """Number of depths in the arrays."""
@@ -400,17 +424,23 @@ def function_of(found: list[int], first: int, base: int = 0) -> Function:
             kind, by = move
             net[kind] += by
             least[kind] = min(least[kind], net[kind])
-    state = np.arange(N_FLAT + N_NESTED * (2 - min(least)))
-    start = np.full(len(state), INHERITED)
-    start[0] = first + base if first >= 0 else LATER
-    for at in range(0, len(found), 3):
-        symbol = found[at]
-        known = np.where(state < N_STATES, state, N_FLAT + N_NESTED + (state - N_FLAT) % N_NESTED)
-        to = STEP[symbol][known]
-        if _MAY_END[symbol]:
-            nxt = found[at + 2]
-            start[EMIT[symbol][known] > 0] = nxt + base if nxt >= 0 else LATER
-        state = np.where(to >= N_FLAT, to + state - known, to)
+    n = N_FLAT + N_NESTED * (2 - min(least))
+    # current states, each with groups of the states that came there: their open start, and they themselves
+    groups: dict[int, list[tuple[int, list[int]]]] = {s: [(INHERITED, [s])] for s in range(n)}
+    groups[0] = [(first + base if first >= 0 else LATER, [0])]
+    for symbol, nxt in zip(found[::3], found[2::3], strict=True):
+        moves = _MOVES[symbol]
+        if symbol == BLANK or _DEPTH_OF[symbol]:
+            moves = moves + [(s, *step(symbol, s)) for s in groups if s >= N_STATES]
+        moved = [(to, emits, groups.pop(s)) for s, to, emits in moves if s in groups]
+        for to, emits, came in moved:
+            if emits:
+                came = [(nxt + base if nxt >= 0 else LATER, [s for _, some in came for s in some])]
+            groups[to] = groups[to] + came if to in groups else came
+    state, start = np.empty(n, np.int64), np.empty(n, np.int64)
+    for to, came in groups.items():
+        for began, some in came:
+            state[some], start[some] = to, began
     return Function(state, start)
 
 
@@ -418,7 +448,7 @@ def function_of(found: list[int], first: int, base: int = 0) -> Function:
 _DEPTH_OF = [None] * 6 + [next(((n, 1 - 2 * i) for n, k in enumerate(_NESTED) for i in (0, 1) if _KINDS[k][i] == m), None) for m in _MARKS for _ in range(4)]
 
 
-def scan(functions: list[Function]) -> tuple[np.ndarray, np.ndarray]:
+def scan(functions: list[Function]) -> tuple[list[int], list[int]]:
     """State and open start before every chunk but the first, whose state is that of no unit.
 
     A parallel prefix scan: pairs are composed level by level up a tree, then every right half gets its state from the
@@ -428,16 +458,16 @@ def scan(functions: list[Function]) -> tuple[np.ndarray, np.ndarray]:
     while len(levels[-1]) > 1:
         f = levels[-1]
         levels.append([f[i].then(f[i + 1]) if i + 1 < len(f) else f[i] for i in range(0, len(f), 2)])
-    state, start = np.zeros(1, np.int64), np.full(1, LATER)
+    before = [(0, LATER)]
     for f in reversed(levels[:-1]):
-        n = len(f)
-        down_state, down_start = np.empty(n, np.int64), np.empty(n, np.int64)
-        down_state[::2], down_start[::2] = state, start
-        for i in range(1, n, 2):
-            s, b = f[i - 1](state[i // 2 : i // 2 + 1])
-            down_state[i], down_start[i] = s[0], start[i // 2] if b[0] == INHERITED else b[0]
-        state, start = down_state, down_start
-    return state, start
+        down = []
+        for i, (state, start) in enumerate(before):
+            down.append((state, start))
+            if 2 * i + 1 < len(f):
+                to, began = f[2 * i].at(state)
+                down.append((to, start if began == INHERITED else began))
+        before = down
+    return [s for s, _ in before], [b for _, b in before]
 
 
 def replayed(found: list[int], first: int, state: int, start: int, base: int) -> tuple[list[int], list[int], int, int]:
@@ -445,12 +475,15 @@ def replayed(found: list[int], first: int, state: int, start: int, base: int) ->
     starts, ends = [], []
     if start == LATER and state == 0:
         start = first + base if first >= 0 else LATER
-    for at in range(0, len(found), 3):
-        state, emits = step(found[at], state)
+    for symbol, end, nxt in zip(found[::3], found[1::3], found[2::3], strict=True):
+        if state < N_STATES:
+            emits, state = _EMIT[symbol][state], _STEP[symbol][state]
+        else:
+            state, emits = step(symbol, state)
         if emits:
             starts.append(start)
-            ends.append(found[at + 1] + base)
-            start = found[at + 2] + base if found[at + 2] >= 0 else LATER
+            ends.append(end + base)
+            start = nxt + base if nxt >= 0 else LATER
     return starts, ends, state, start
 
 
@@ -526,16 +559,17 @@ def with_states(rows: DataFrame) -> DataFrame:
 
     def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for doc_id, chunks in zip(b["doc_id"], b["chunks"], strict=True):
-                n = np.array([x["n"] for x in chunks], np.int64)
-                size = np.array([x["bytes"] for x in chunks], np.int64)
-                base, functions = np.cumsum(n) - n, []
-                for x, at in zip(chunks, base.tolist(), strict=True):
+                base = byte_base = 0
+                functions, bases = [], []
+                for x in chunks:
                     state, start = np.frombuffer(x["f"], _PACKED).reshape(2, -1)
-                    functions.append(Function(state, np.where(start >= 0, start + at, start)))
-                state, start = scan(functions)
-                frame = pd.DataFrame({"doc_id": doc_id, "k": np.arange(len(n), dtype=np.int32), "base": base, "byte_base": np.cumsum(size) - size, "state": state, "start": start})
-                yield frame.iloc[1:]
+                    functions.append(Function(state, np.where(start >= 0, start + base, start)))
+                    bases.append((base, byte_base))
+                    base, byte_base = base + x["n"], byte_base + x["bytes"]
+                out += [(doc_id, k, *at, *s) for k, (at, s) in enumerate(zip(bases, zip(*scan(functions), strict=True), strict=True)) if k]
+            yield pd.DataFrame(out, columns=["doc_id", "k", "base", "byte_base", "state", "start"])
 
     known = "base bigint, byte_base bigint, state bigint, start bigint"
     longer = rows.where("k > 0 or not last").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "n", "bytes", "f"))).alias("chunks"))

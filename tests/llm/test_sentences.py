@@ -49,7 +49,7 @@ def in_chunks(text, size, halo):
         functions.append(Function(state, np.where(start >= 0, start + a, start)))
         parts.append((found, first, a, a + until))
     starts, ends = [], []
-    for (found, first, a, until), state, start in zip(parts, *(x.tolist() for x in scan(functions)), strict=True):
+    for (found, first, a, until), state, start in zip(parts, *scan(functions), strict=True):
         s, e, state, start = replayed(found, first, state, start, a)
         starts, ends = starts + s, ends + e
     if state:
