@@ -39,14 +39,28 @@ CHUNK, HALO = 2000, 256
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 #: Abbreviations that never end a sentence.
 NEVER = frozenset(
-    """Mr Mrs Ms Dr Drs Prof St Col Gen Lt Sgt Capt Rev Hon Messrs Sr Sra Srta Dra Dres D Dña Don Mme Mlle MM Me Hr Fr Frau Bros cf Cf vs viz
-    i.e e.g I.e E.g ie eg approx Approx al sp spp nov var subsp No Nos no Nr nr Fig Figs fig figs Sect Sec sect Eq Eqs eq Ref Refs Tab Tabs tab
-    Abb abb Vol vol Vols pp Ch ch Chap Art art Temp Dept ca Ca circa bzw Bzw vgl Vgl ggf Ggf min max med z.B d.h u.a u.U s S o Bd Hrsg geb Ing Dipl
+    """Mr Mrs Ms Dr Drs Prof St Col Gen Lt Sgt Capt Rev Hon Messrs Sr Sra Srta Dra Dres D Dña Mme Mlle MM Me Hr Fr Frau Bros cf Cf vs viz
+    i.e e.g I.e E.g ie eg approx Approx sp spp nov var subsp No Nos Nr nr Fig Figs fig figs Sect Sec sect Eq Eqs eq Ref Refs Tab Tabs tab
+    Abb abb Vol vol Vols pp Ch ch Chap Art Temp Dept ca Ca circa bzw Bzw vgl Vgl ggf Ggf med z.B d.h u.a u.U s S o Bd Hrsg geb Ing Dipl
     ej ex pág págs Pág núm Núm av Avda Av aprox Aprox EE env Env éd Проф проф рис Рис табл стр см См ср ул им акад д-р напр т.е т.к т.н т к е гг
     د ص أ م डॉ श्री क्र पृ शि.वि मि.ग्रा कि.मी कि.ग्रा सं""".split()
 )
 #: Abbreviations that end a sentence only where the next word shows it; before a digit they do not.
 NUMBERED = frozenset("Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Mon Tue Wed Thu Fri Sat Sun p v f h n т ч руб".split())
+#: Abbreviations that are words too: they go on before a number, an opening bracket or a word in small letters only.
+WORDS_TOO = frozenset("no nos art Don".split())
+#: Abbreviations of measures that end a sentence after a number: they go on in all other places.
+AFTER_NUMBER = frozenset("min max".split())
+#: Words before a single letter that is no initial, and words that begin a sentence and are no name.
+LETTERED = frozenset(
+    """hepatitis influenza vitamin vitamins group groups type types grade class stage phase arm section part factor factors protein cohort category
+    level panel appendix figure table box model scenario site strain variant lineage cluster blood plan step option gruppe typ stadium klasse phase groupe stade classe grupo tipo fase etapa""".split()
+)
+STARTERS = frozenset(
+    """The This These Those That There Then Thus They Their It Its In On At For From With Without We Our As An After Before During Although However Here He She
+    If Since Some Such To Under When Where While Which Both Each No Not Among All And But Two Three Most Many More Patients Results Conclusions Methods
+    Der Die Das Ein Eine Es Im Wir Diese Dieser Bei Nach Le La Les Un Une Nous Ces Cette El Los Las Una Este Esta Estos En""".split()
+)
 #: What follows an ordinal number with a point.
 AFTER_ORDINAL = re.compile(
     r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Jahrhundert|Kapitel|Abschnitt|Auflage|Woche|Tag|Jahrestag|Klasse|Stock)\b"
@@ -75,6 +89,7 @@ END_RUN = re.compile(f"[{_ENDS}]+")
 NON_SPACE = re.compile(r"\S")
 _WORD = r"[\wऀ-ॣ॰-ॿ฀-๎'’\-]"
 LAST_WORD = re.compile(rf"{_WORD}+(?:\.{_WORD}+)*\Z")
+NEXT_WORD = re.compile(r"[^\W\d_]+")
 LIST_ITEM = re.compile(r"[^\S\n]*(?:[•‣◦▪●*–—-]|\(?\d{1,3}[.)]|\(?[a-zA-Z][)])[^\S\n]+\S")
 HEADING = re.compile(
     rf"[^\S\n]*(?:(?i:{HEADINGS})|(?:Case report|Case|Table|Figure|Section|Chapter|Part|Appendix|Box|Abschnitt|Kapitel|Tabelle|Tableau|Tabla|Capítulo|Chapitre|Глава|Раздел)[ ]\d+"
@@ -193,6 +208,18 @@ def _last_word(text: str, end: int) -> re.Match | None:
     return LAST_WORD.search(text, max(lo, text.rfind(" ", lo, end)), end)
 
 
+def _is_lettered(text: str, letter: int, after: int) -> bool:
+    """Whether the capital at ``letter`` belongs to the word before it, as in hepatitis B, and is no initial."""
+    if letter < 2 or not text[letter - 1].isspace():
+        return False
+    before = _last_word(text, letter - 1)
+    if not before or not before[0][0].isalpha():
+        return False
+    w = before[0]
+    follows = NEXT_WORD.match(text, after)
+    return w.casefold() in LETTERED or w.islower() and len(w) > 3 and bool(follows) and follows[0] in STARTERS
+
+
 def _ends(text: str, start: int, end: int) -> int:
     """The offset after the marks that end a sentence in ``text[start:end]``, or -1 if it goes on."""
     run = text[start:end]
@@ -256,12 +283,18 @@ def _ends(text: str, start: int, end: int) -> int:
     parts = w.split(".")
     if len(parts) > 1 and len(parts[-2]) > 2:  # glued to the sentence before
         w = parts[-1]
-    if w in NEVER:
+    if w in NEVER or w in WORDS_TOO and kind in "D(":
+        return -1
+    if w == "al" and text[max(0, word.start() - 3) : word.start()].lower() in ("et ", "et\n", "et\xa0"):
         return -1
     if w[-1].isdigit():
         return -1 if w.isdigit() and len(w) < 3 and AFTER_ORDINAL.match(text, end) else end
+    if w in AFTER_NUMBER:
+        return end if re.search(r"\d[\s–-]?\Z", text[max(0, word.start() - 2) : word.start()]) and kind != "D" else -1
     if len(w) == 1 and (w.isupper() or w.isalpha() and w.isascii()):
-        return end if word.start() and text[word.start() - 1] in "/·" else -1  # an initial, but not the end of a unit such as mg/l
+        if word.start() and text[word.start() - 1] in "/·":  # the end of a unit such as mg/l
+            return end
+        return end if w.isupper() and _is_lettered(text, word.start(), at) else -1
     if w in NUMBERED and kind == "D":
         return -1
     return end
@@ -318,7 +351,7 @@ def symbols(text: str, lo: int, hi: int, first: bool) -> Iterator[tuple[int, int
     while m := search(text, pos, hi):
         a, b = m.span()
         c = text[a]
-        if c == "." and a and text[a - 1].isdigit() and text[a + 1 : a + 2].isdigit():  # inside a number
+        if c == "." and a and text[a - 1].isdecimal() and text[a + 1 : a + 2].isdecimal():  # inside a number
             pos = b
             continue
         if c == "\n":

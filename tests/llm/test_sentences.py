@@ -23,6 +23,12 @@ CASES = [
     ("   \n ", []),
     (None, []),
     ("An open (bracket. It never\n\ncloses. Ok.", ["An open (bracket. It never", "closes.", "Ok."]),
+    ("The answer was no. We left. See no. 7 and art. 5.", ["The answer was no.", "We left.", "See no. 7 and art. 5."]),
+    ("It is state of the art. It is hepatitis B. The virus spreads.", ["It is state of the art.", "It is hepatitis B.", "The virus spreads."]),
+    ("Give vitamin C. Patients rest. By nurse B. Osk and J. The.", ["Give vitamin C.", "Patients rest.", "By nurse B. Osk and J. The."]),
+    ("It took 5 min. Then it ended. Die max. Dosis war 5.", ["It took 5 min.", "Then it ended.", "Die max. Dosis war 5."]),
+    ("We met Don. He and Al. Osk et al. The end.", ["We met Don.", "He and Al.", "Osk et al. The end."]),
+    ("m².3 rose 3.5-fold to v2.0.1 now. Ok", ["m².3 rose 3.5-fold to v2.0.1 now.", "Ok"]),
 ]
 
 
@@ -110,6 +116,7 @@ def test_pieces(spark):
     for r in pieces.pieces(rows, limit, overlap).collect():
         got.setdefault(r["doc_id"], []).append(r)
     flags = {r[0]: r[1] for r in pieces.oversized(pieces.boundary_tables(rows, overlap), limit).collect()}
+    assert flags == {r[0]: r[1] for r in pieces.oversized(pieces.boundary_tables(rows, overlap, limit), limit).collect()}
     for i, t in enumerate(texts):
         big = t is not None and len(t.encode()) > limit
         assert (f"d{i}" in got) == big == (f"d{i}" in flags)
@@ -130,3 +137,15 @@ def test_pieces(spark):
             stretch = 0 if c.isspace() else stretch + len(c.encode())
             worst = max(worst, stretch)
         assert flags[f"d{i}"] == int(worst > limit), i
+
+
+def test_thinned_boundaries_keep_long_stretches():
+    rng = random.Random(9)
+    for _ in range(300):
+        ends = sorted(rng.sample(range(400), rng.randrange(0, 25)))
+        marks = np.array([(a, a + 1, a, a + 1, pieces.SPACE) for a in ends], np.int32).reshape(-1, 5)
+        limit = rng.choice([5, 20, 60])
+        gaps = lambda m: {(a, b) for a, b in zip(m[:-1, 3].tolist(), m[1:, 2].tolist(), strict=True) if b - a > limit}
+        few = pieces.thinned(marks, limit)
+        assert gaps(few) == gaps(marks) and len(few) <= len(marks)
+        assert not ends or (few[0].tolist(), few[-1].tolist()) == (marks[0].tolist(), marks[-1].tolist())
