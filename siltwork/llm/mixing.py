@@ -18,7 +18,6 @@ null share is 0, a null or negative limit is 0; an empty table of documents give
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ def sized(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(key, source, target_share, max_repeats, available, total, budget, reachable)``: one row per target."""
+    """``(key, source, target_share, max_repeats, available, total, budget)``: one row per target."""
     wanted = (
         targets.where(F.col("source").isNotNull())
         .groupBy(id_key("source").alias("key"))
@@ -58,7 +57,6 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         {
             "available": available,
             "budget": F.round(F.col("target_share") * F.col("total")).cast("long"),
-            "reachable": ~(F.col("max_repeats") * available < F.col("target_share") * F.col("total")),
         }
     )
 
@@ -66,7 +64,9 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def fit(lengths: list[int], counts: list[int], rest: int, width: int = DP_TOKENS) -> list[int]:
     """How many documents of each length to take so that their tokens come to ``rest``, or as little below as found.
 
-    Proportional parts, then greedy single documents until the rest is below ``width``, then an exact bounded knapsack.
+    Proportional parts, then greedy single documents until the rest is below ``width``; of the shortest documents as
+    many are given back as the width takes, so that there is a choice; then an exact bounded knapsack. A ``rest`` below
+    ``width`` is given back whole, so nothing can come closer to it.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if total <= rest:
@@ -80,14 +80,18 @@ def fit(lengths: list[int], counts: list[int], rest: int, width: int = DP_TOKENS
         more = min(counts[i] - take[i], (left - width) // lengths[i] + 1, left // lengths[i])
         take[i] += max(0, more)
         left -= max(0, more) * lengths[i]
-    if left >= width:  # every document that is left is longer than the rest
-        left_for_sums = 0
-    else:
-        left_for_sums = left
-    mask, reach, layers = (1 << (left_for_sums + 1)) - 1, 1, []
+    # where the rest is still wider, every document that is not taken is longer than it
+    for i in reversed(order):
+        back = min(take[i], max(0, width - 1 - left) // lengths[i])
+        take[i] -= back
+        left += back * lengths[i]
+        if back < take[i] + back:
+            break
+    width = min(left, width - 1)
+    mask, reach, layers = (1 << (width + 1)) - 1, 1, []
     for i in order:
-        spare, part = min(counts[i] - take[i], left_for_sums // lengths[i]), 1
-        while spare > 0 and not reach >> left_for_sums & 1:  # binary parts of the spare count
+        spare, part = min(counts[i] - take[i], width // lengths[i]), 1
+        while spare > 0 and not reach >> width & 1:  # binary parts of the spare count
             part = min(part, spare)
             layers.append((i, part, reach))
             reach |= reach << (lengths[i] * part) & mask
@@ -104,16 +108,15 @@ def fit(lengths: list[int], counts: list[int], rest: int, width: int = DP_TOKENS
 def allotted(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     """``(key, n_tokens, passes, take)``: whole passes of a source, and how many documents of each length once more."""
     histogram = sizes.where(F.col("key").isNotNull() & (F.col("n_tokens") > 0)).groupBy("key", "n_tokens").agg(F.count(F.lit(1)).alias("c"))
-    rows = histogram.join(F.broadcast(planned.select("key", "available", "budget", "max_repeats", "reachable")), "key")
+    rows = histogram.join(F.broadcast(planned.select("key", "available", "budget", "max_repeats")), "key")
 
     def one_source(group: pd.DataFrame) -> pd.DataFrame:
         r = group.iloc[0]
         lengths, counts = group["n_tokens"].tolist(), group["c"].tolist()
-        if not r["reachable"]:
-            passes, take = int(r["max_repeats"]), [0] * len(lengths)
-        else:
-            passes, rest = divmod(int(r["budget"]), int(r["available"]))
-            take = fit(lengths, counts, rest) if rest else [0] * len(lengths)
+        budget, available = int(r["budget"]), int(r["available"])
+        passes = min(budget // available, int(r["max_repeats"]))
+        rest = budget - passes * available if passes < r["max_repeats"] else 0
+        take = fit(lengths, counts, rest) if rest else [0] * len(lengths)
         return pd.DataFrame({"key": group["key"], "n_tokens": lengths, "passes": passes, "take": take})
 
     return rows.groupBy("key").applyInPandas(one_source, "key string, n_tokens int, passes bigint, take bigint")
@@ -152,6 +155,9 @@ def report(sizes: DataFrame, planned: DataFrame) -> DataFrame:
     )
     tokens = F.coalesce("tokens", F.lit(0).cast("long"))
     rows = planned.join(got, "key", "left").withColumns({"tokens": tokens, "passes": F.coalesce("passes", F.lit(0).cast("long"))})
+    # a target is out of reach if every allowed repeat of every document is in the mix, and its tokens are still short
+    spent = F.col("tokens") == F.col("max_repeats") * F.col("available")
+    rows = rows.withColumn("reachable", ~(spent & (F.col("tokens") < F.col("target_share") * F.col("total"))))
     rows = rows.withColumn("mix_tokens", F.sum("tokens").over(Window.partitionBy("total")))  # one row per target
     return rows.select(
         "source", "target_share", "max_repeats", "available", "budget", "tokens", "passes", "reachable",
@@ -161,7 +167,7 @@ def report(sizes: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def unreachable(sizes: DataFrame, planned: DataFrame) -> DataFrame:
-    """``(source)``: targets whose fitted tokens stay short because all allowed repeats are too few."""
+    """``(source)``: targets whose fitted tokens stay short although the fit has used up all allowed repeats."""
     return report(sizes, planned).where(~F.col("reachable")).select("source")
 
 

@@ -28,8 +28,21 @@ def test_top_items(spark):
         items = sorted(((s, d) for (g, d), s in best.items() if g == q), key=lambda x: (x[0], x[1].encode()), reverse=True)
         expected |= {(q, d, i + 1) for i, (_, d) in enumerate(items[:10])}
     assert {(r["q"], r["d"], r["rank"]) for r in got} == expected
-    plan = topn.top_items(spark.createDataFrame(rows, "q string, d string, s double"), "q", "d", "s", 10)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    counted = topn.counted_rows(spark.createDataFrame(rows, "q string, d string, s double"), "q", "d", "s")
+    plan = topn.first_items(counted, 10, 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_top_items_of_groups_with_many_repeats(spark):
+    rows = [("same", "a", float(i)) for i in range(500)] + [("same", x, -1.0) for x in "bcd"] + [("few", "a", 1.0)] * 20 + [("two", x, 0.0) for x in "ab"] * 7
+    rows += [("wide", f"{i % 9}", float(i)) for i in range(90)]
+    got = {tuple(r) for r in topn.top_items(spark.createDataFrame(rows, "q string, d string, s double"), "q", "d", "s", 4).collect()}
+    assert got == {("same", "a", 499.0, 1), ("same", "d", -1.0, 2), ("same", "c", -1.0, 3), ("same", "b", -1.0, 4), ("few", "a", 1.0, 1), ("two", "b", 0.0, 1), ("two", "a", 0.0, 2)} | {
+        ("wide", f"{i % 9}", float(i), 90 - i) for i in range(86, 90)
+    }
+    clash = spark.createDataFrame([("q", "d", 1.0, 7)], "q string, d string, s double, _score int")
+    assert [tuple(r) for r in topn.top_items(clash, "q", "d", "s", 4).collect()] == [("q", "d", 1.0, 1)]
+    assert topn.top_items(clash.limit(0), "q", "d", "s", 4).count() == 0
 
 
 def _terms(text):
@@ -139,6 +152,33 @@ def test_fit():
             assert got == total
 
 
+def test_fit_is_exact_below_the_width():
+    rng = random.Random(10)
+    for _ in range(200):
+        lengths = rng.sample(range(1, 40), rng.randrange(1, 7))
+        counts = [rng.randrange(1, 5) for _ in lengths]
+        rest = rng.randrange(0, 150)
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        take = mixing.fit(lengths, counts, rest, 1 << 16)
+        assert sum(n * t for n, t in zip(lengths, take, strict=True)) == max(s for s in sums if s <= rest)
+        # wider than the programme: never above, and not further below than without a choice of the shortest
+        take = mixing.fit(lengths, counts, rest, 32)
+        got = sum(n * t for n, t in zip(lengths, take, strict=True))
+        assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and (got <= rest)
+        left = [n for n, t, c in zip(lengths, take, counts, strict=True) if t < c]
+        assert not left or got + min(left) > rest
+
+
+def test_found_sources_come_out_of_the_fit(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "b", 7)], "doc_id bigint, key string, n_tokens int")
+    planned = mixing.plan(df, spark.createDataFrame([("a", 0.9, 2), ("b", 0.1, 1)], "source string, target_share double, max_repeats int"))
+    found = mixing.unreachable(df, planned)
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["source"] for r in found.collect()] == ["a"]
+
+
 def test_mix(spark):
     rng = random.Random(6)
     sizes = [(i, rng.choice(["a", "a", "a", "b", "c", None, ""]), rng.choice([0, 3, 5, 8, 13])) for i in range(900)]
