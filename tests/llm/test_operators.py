@@ -93,6 +93,24 @@ def test_term_state_is_opened_again(spark):
         assert again.n_records() == len(records)
 
 
+def test_term_changes_and_segments(spark, monkeypatch):
+    monkeypatch.setattr(terms, "MAX_SEGMENTS", 3)
+    rng, folder = random.Random(11), scratch_path(spark, "test-terms")
+    records: dict = {}
+    terms.TermState(spark, folder, buckets=5)
+    for step in range(6):
+        feed = {f"k{rng.randrange(12)}": rng.choice([None, "", "x y", "x x z.z", "w"]) for _ in range(6)}
+        gone = {k for k in feed if rng.random() < 0.3}
+        rows = [(k, None if k in gone else t, k in gone) for k, t in feed.items()] + [(None, "none", False)]
+        records = {k: t for k, t in (records | feed).items() if k not in gone}
+        state = terms.TermState(spark, folder, buckets=5 if step == 0 else 99)
+        state.apply_changes(spark.createDataFrame(rows, "key string, text string, deleted boolean"))
+        again = terms.TermState(spark, folder)
+        assert again.n_buckets == 5 and len(again._segments) <= 3
+        assert {r["term"]: (r["n_occurrences"], r["n_records"]) for r in again.counts().collect()} == _counts(records)
+        assert again.n_records() == len(records) and {tuple(r) for r in again.records().collect()} == set(records.items())
+
+
 def test_found_terms_come_out_of_a_delta(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(1, "a", "x y"), (2, "A ", "x z z"), (3, "b", "x")], "line_no bigint, doc_id string, text string")
     docs.write.parquet(str(tmp_path / "cord19_trec_covid_docs.parquet"))
