@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltwork.operators import parsing, references, skew
 
@@ -124,3 +125,30 @@ def test_quantiles(spark):
         for q in (0.0, 0.5, 0.9, 1.0):
             rank = max(1, -int(-(q * len(vs)) // 1))
             assert got[k, q] == (len(vs), vs[rank - 1])
+
+
+def test_quantiles_of_wide_values(spark):
+    rng = random.Random(12)
+    ends = [-(2**63), 2**63 - 1, -1, 0, 1, -(2**31) - 1, 2**31, 2**48, -(2**48)]
+    rows = [(rng.choice(["a", "a", "b"]), rng.choice([rng.choice(ends), rng.randrange(-(2**63), 2**63), rng.randrange(-3, 3)])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "quantile string, v bigint")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in skew.key_quantiles(df, ["quantile"], "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    for k in "ab":
+        vs = sorted(v for x, v in rows if x == k)
+        for q in (0.0, 0.25, 0.5, 1.0):
+            assert got[k, q] == (len(vs), vs[max(1, -int(-(q * len(vs)) // 1)) - 1])
+    small = spark.createDataFrame([(1, -128), (1, 127), (1, 5)], "k int, v int").select("k", F.col("v").cast("tinyint").alias("v"))
+    assert [r["value"] for r in skew.key_quantiles(small, ["k"], "v", [0.5]).collect()] == [5]
+    assert skew.key_quantiles(df.limit(0), ["quantile"], "v", [0.5]).count() == 0
+    with pytest.raises(ValueError):
+        skew.key_quantiles(spark.createDataFrame([(1, 0.5)], "k int, v double"), ["k"], "v", [0.5])
+
+
+def test_heavy_keys_at_the_very_share(spark):
+    rows = [(t, f"d{i}") for t in range(50) for i in range(t * 20, t * 20 + 20)]
+    rows += [(t, f"e{t}-{i}") for t in range(50, 60) for i in range(19)]
+    df = spark.createDataFrame([(t, d, 1) for t, d in rows], "term_id int, doc_id string, tf int")
+    n = len(rows)
+    for share in ((20, n), (19, n), (21, n), (1, 1)):
+        got = {r["key_value"] for r in skew.heavy_keys(skew.pairs_of(df), share).collect() if r["key_field"] == "term_id"}
+        assert got == {str(t) for t, c in Counter(t for t, _ in rows).items() if c * share[1] >= n * share[0]}
