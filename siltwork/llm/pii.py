@@ -1,12 +1,21 @@
 """Personal information inside free text (problem 10).
 
-Addresses of mail, phones, numbers of identity and street addresses are found by their forms. Persons' names are found
-by information-theoretic disclosure: the list of names is incomplete and holds ordinary words, so the whole corpus is
-counted for how often each term stands in the place of a name next to a known name or a title, against how often it
-stands anywhere. The disclosure of a term is its pointwise mutual information with that place, in bits; a term within
-``SLACK_BITS`` of full disclosure reveals a person. Name forms made of known parts are taken at once, unless they are
-ordinary words by the same counts; forms with unknown parts wait until each unknown part's disclosure is known. What is
-found is generalised to a placeholder of its type.
+Everything but addresses of mail is found by information-theoretic disclosure: the corpus is counted for how often a
+term stands with a protected entity, against how often it stands elsewhere. The disclosure of a term is its pointwise
+mutual information with that entity, log2(p(entity | term) / p(entity)), in bits; full disclosure, p(entity | term) = 1,
+is -log2 p(entity), and what a term is short of it, -log2 p(entity | term), is held against a threshold.
+
+* Persons: a term is a word, the entity the place of a name beside a known name or a title. The list of names is
+  incomplete and holds ordinary words. Forms of two listed names may be ``SLACK_LISTED`` short, forms with one
+  ``SLACK_KNOWN``, others less.
+* Identity numbers and phones: a term is the shape of a number (its letters, how many digits), the entity a label such
+  as passport no., against labels of other things such as lot no. Numbers of a common form stay unless their shape is
+  ``SLACK_FORM`` short in this corpus; numbers of no common form are found only if their shape is labelled as personal
+  in the corpus, at most ``SLACK_SHAPE`` short. A label directly before a number decides on that number itself.
+* Street addresses: a term is the word for the kind of street, the entity an address with flat, postcode or town.
+* Addresses of mail have a sign of their own and are found by their form alone.
+
+What is found is generalised to a placeholder of its type.
 
 Terms are counted per partition before the shuffle; waiting forms meet the table of disclosing terms in shuffled
 joins, as both grow with the corpus. Only the given list of names is broadcast, after a check of its size.
@@ -18,6 +27,7 @@ certain type stays (mail, address, number of identity, phone, person); an empty
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,8 +38,10 @@ from pyspark.sql.window import Window
 from siltwork.session import stored
 
 #: How far below full disclosure (every capitalised occurrence in the place of a name) a term may be, in bits: beside
-#: another unknown term, beside an initial, and beside a known name.
-SLACK_ALONE, SLACK_INITIAL, SLACK_KNOWN = 1.5, 3.0, 5.0
+#: another unknown term, beside an initial, beside a known name, and for two listed names together.
+SLACK_ALONE, SLACK_INITIAL, SLACK_KNOWN, SLACK_LISTED = 1.5, 3.0, 5.0, 8.0
+#: The same for numbers and streets of a common form, and for numbers of no common form.
+SLACK_FORM, SLACK_SHAPE = 5.0, 0.9
 #: Largest list of names that is sent to the workers.
 MAX_NAMES = 1_000_000
 
@@ -63,32 +75,35 @@ BEFORE_PHONE = re.compile(r"(?i)(?:\b(?:tel|tél|tfno|phone|telephone|teléfono|
 EXTENSION = re.compile(_EXT)
 #: Words before a number that make it something else.
 NOT_PERSONAL = re.compile(
-    r"(?i)(?:\b(?:lot|batch|isbn|issn|catalogue no|catalog no|cat\. no|part no|order no|item|grant|trial|accession|build|version|doses? of|ranked|ratio was|doi|serial no|model|kit|figure|fig|table|page|pages|pp|vol|nct|ci|values)\b|[#$€£])[\s.:=]*(?:no\.?\s?)?$"
+    r"(?i)(?:\b(?:lot|batch|isbn|issn|catalogue no|catalog no|cat\. no|part no|order no|item|grant|trial|accession|build|version|doses? of|ranked|ratio(?: was| of)?|doi|serial no|model|kit|figure|fig|table|page|pages|pp|vol|nct|ci|values)\b|[#$€£])[\s.:=]*(?:no\.?\s?)?$"
 )
 _NUMBER_LABEL = (
     r"(?i:\bSSN|social security (?:number|no\.?)|national insurance (?:number|no\.?)|insurance (?:number|no\.?)|NINO|NHS (?:number|no\.?)|tax (?:id|number|no\.?)|Steuer-?ID(?:-?Nr\.?)?|Steueridentifikationsnummer"
     r"|passport (?:number|no\.?)|passport|Reisepass(?:-?Nr\.?)?|Personalausweis(?:-?Nr\.?)?|identity card(?: (?:number|no\.?))?|ID(?: (?:card|number|no\.?))?|patient (?:record|id|number|no\.?)|medical record(?: number)?|MRN|record(?: no\.?)?"
-    r"|DNI|NIE|NIF|N[°º] de sécurité sociale|numéro de sécurité sociale|NIR|паспорт|СНИЛС|ИНН|card showed)"
+    r"|DNI|NIE|NIF|N[°º] de sécurité sociale|numéro de sécurité sociale|NIR|паспорт|СНИЛС|ИНН)"
 )
 LONG_NUMBER = re.compile(rf"(?<![\d./-])\d(?:[\s./-]?\d){{4,16}}(?:[\s-]?[A-Za-z](?![A-Za-z]))?(?![{_L}_\d])")
 BEFORE_NUMBER = re.compile(rf"{_NUMBER_LABEL}\s?(?:[:：#]|is|n\.?º|nr\.?|no\.?)?\s?([A-Za-z]{{1,3}}[\s/-]?)?$")
 ID_FORMS = re.compile(
-    r"(?<![\w./-])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]|\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}|\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|PT/\d{4}/\d{2}|M-\d{7}|ZZ\s?\d{4}\s?\d{3}|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d)(?![\w]|[-/]\d)"
+    r"(?<![\w./-])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]|\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}|\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d)(?![\w]|[-/]\d)"
 )
+#: Numbers of no common form: digits, and the letters before them.
+SHAPE = re.compile(r"\d(?:[\s./-]?\d){5,12}(?![\w]|[-/.]\d)")
+BEFORE_SHAPE = re.compile(r"(?<![\w./-])([A-Z]{1,3})[\s/-]?$")
 #: What every form of a number above and below has, also with full-width signs and glued extensions.
 SIX_DIGITS = re.compile(r"\d(?:\D{0,3}\d){5}")
 TABLE_ID = re.compile(r"\|\s((?:[A-Z]{1,3}[\s/-]?)?\d(?:[\s./-]?\d){6,14}(?:[\s-]?[A-Z])?)\s\|\s*(?:\n|\Z)")
 
 _CAP = r"[A-ZÀ-Þ][\w'’-]*"
-_TOWN = rf"(?:,\s(?:[A-Z]{{2}}\s)?\d{{5}}(?:\s{_CAP})?|,\s{_CAP}(?:,\s[A-Z]{{2}}\s\d{{5}}|\s\d{{5}}(?!\d)|,\s[A-Z]{{2}}(?!\w)|(?=[,.;:)\]\n<|]|\s(?:and|was|is|for|on|in)\s|\s?\Z)))?"
+_TOWN = rf"(?P<town>,\s(?:[A-Z]{{2}}\s)?\d{{5}}(?:\s{_CAP})?|,\s{_CAP}(?:,\s[A-Z]{{2}}\s\d{{5}}|\s\d{{5}}(?!\d)|,\s[A-Z]{{2}}(?!\w)|(?=[,.;:)\]\n<|]|\s(?:and|was|is|for|on|in)\s|\s?\Z)))?"
 _TYPES = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Boulevard|Blvd\.?|Close|Drive|Dr\.|Court|Ct\.?|Crescent|Terrace|Place|Pl\.?|Square|Sq\.?|Way|Grove|Gardens|Row|Hill|Parkway|Highway)"
-_UNIT = r"(?:,?\s(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s?\w{1,5}|,?\s#\s?\d+\w?)?"
+_UNIT = r"(?P<unit>,?\s(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s?\w{1,5}|,?\s#\s?\d+\w?)?"
 ADDRESS_FORMS = [
-    rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?(?:[-–]\d{{1,5}}[A-Za-z]?)?\s(?:{_CAP}\s){{1,3}}(?:{_TYPES}|{_TYPES.upper()})(?![\w]){_UNIT}{_TOWN}",
-    rf"(?<![\w])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer)|(?:Am|An\sder|Im|Auf\sdem|Zum|Zur)\s[A-ZÄÖÜ][a-zäöüß]+)\s\d{{1,4}}(?:\s?[a-z](?![a-z]))?(?![\w%]|\.\d)(?:,\s\d{{5}}\s[A-ZÄÖÜ][\wäöüß-]+)?",
-    rf"(?<![\w.-])\d{{1,4}}(?:\s(?:bis|ter|quater))?,?\s(?:rue|avenue|av\.|place|boulevard|bd|chemin|impasse|allée|quai|route|cours|square)\s(?:de\sla\s|de\s|du\s|des\s|d['’]|l['’])?{_CAP}(?:\s{_CAP})?(?:,\s\d{{5}}\s{_CAP})?",
-    rf"(?<![\w])(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino|Carrera)\s?(?:de\sla\s|de\slos\s|de\s|del\s)?{_CAP},?\s\d{{1,4}}(?:,\s\d{{1,2}}\.?[ºª°](?:\s?[A-Z](?![\w]))?)?(?:,\s\d{{5}}\s{_CAP})?",
-    r"(?<![\w])(?:ул\.|улица|пр\.|проспект|пер\.)\s[А-Я][\w-]+,\s(?:д\.\s?)?\d{1,4}(?:,\sкв\.\s?\d+)?(?:,\s\d{6})?",
+    rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?(?:[-–]\d{{1,5}}[A-Za-z]?)?\s(?:{_CAP}\s){{1,3}}(?P<kind>{_TYPES}|{_TYPES.upper()})(?![\w]){_UNIT}{_TOWN}",
+    rf"(?<![\w])(?:[A-ZÄÖÜ][\wäöüß-]*(?P<kind>straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer)|(?P<before>Am|An\sder|Im|Auf\sdem|Zum|Zur)\s[A-ZÄÖÜ][a-zäöüß]+)\s\d{{1,4}}(?:\s?[a-z](?![a-z]))?(?![\w%]|\.\d)(?P<town>,\s\d{{5}}\s[A-ZÄÖÜ][\wäöüß-]+)?",
+    rf"(?<![\w.-])\d{{1,4}}(?:\s(?:bis|ter|quater))?,?\s(?P<kind>rue|avenue|av\.|place|boulevard|bd|chemin|impasse|allée|quai|route|cours|square)\s(?:de\sla\s|de\s|du\s|des\s|d['’]|l['’])?{_CAP}(?:\s{_CAP})?(?P<town>,\s\d{{5}}\s{_CAP})?",
+    rf"(?<![\w])(?P<kind>Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino|Carrera)\s?(?:de\sla\s|de\slos\s|de\s|del\s)?{_CAP},?\s\d{{1,4}}(?P<unit>,\s\d{{1,2}}\.?[ºª°](?:\s?[A-Z](?![\w]))?)?(?P<town>,\s\d{{5}}\s{_CAP})?",
+    r"(?<![\w])(?P<kind>ул\.|улица|пр\.|проспект|пер\.)\s[А-Я][\w-]+,\s(?:д\.\s?)?\d{1,4}(?P<unit>,\sкв\.\s?\d+)?(?P<town>,\s\d{6})?",
 ]
 #: Each form with the words of which a text must have one, each white space of it taken as a blank.
 ADDRESSES = [
@@ -242,13 +257,52 @@ def _thing(ws: list[tuple[str, int, int]], k: int) -> bool:
     return k < len(ws) and ws[k][0].casefold() in THINGS
 
 
-def fixed_places(text: str) -> list[tuple[str, int, int]]:
-    """Mail, address, identity number and phone places of a text, without overlaps."""
-    found: list[tuple[str, int, int]] = []
+class Spans:
+    """Places without overlaps, in order."""
+
+    def __init__(self) -> None:
+        self.places: list[tuple[int, int]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.places, (a, b))
+        return (i == 0 or self.places[i - 1][1] <= a) and (i == len(self.places) or b <= self.places[i][0])
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether the place is free; it is taken then."""
+        if free := self.free(a, b):
+            insort(self.places, (a, b))
+        return free
+
+
+def _shape(number: str) -> str:
+    """Term of a number: its letters and how many digits it has, with a plus sign before them."""
+    return "".join(c for c in number.upper() if c.isalpha() or c in "+＋") + str(sum(c.isdigit() for c in number))
+
+
+#: What is known of a place: sure by itself, of a common form, of a shape that has to be labelled elsewhere.
+SURE, FORM, BY_SHAPE = "sure", "form", "shape"
+#: Sign before terms that are no words.
+_NO_WORD = "#"
+
 
-    def add(kind: str, a: int, b: int) -> None:
-        if all(b <= x or y <= a for _, x, y in found):
-            found.append((kind, a, b))
+def graded_places(text: str, seen: dict[str, list[int]]) -> tuple[list[tuple[str, int, int, str | None, str]], Spans]:
+    """``(kind, start, end, term, grade)`` of mail, addresses, identity numbers and phones, without overlaps.
+
+    Adds to ``seen`` how often each term stands in all and with its entity: numbers after a label of their kind or of
+    another thing, streets with more of an address or without.
+    """
+    found: list[tuple[str, int, int, str | None, str]] = []
+    spans = Spans()
+
+    def note(term: str, n: int, of: int) -> str:
+        row = seen.setdefault(_NO_WORD + term, [0, 0, 0, 0])
+        row[GIVEN] += n
+        row[CAPITAL] += of
+        return _NO_WORD + term
+
+    def add(kind: str, a: int, b: int, term: str | None = None, grade: str = SURE) -> None:
+        if spans.take(a, b):
+            found.append((kind, a, b, term, grade))
 
     small = text.lower()
     for m in AT_SIGN.finditer(text) if any(h in small for h in _AT_HINTS) else ():
@@ -260,32 +314,65 @@ def fixed_places(text: str) -> list[tuple[str, int, int]]:
     for form, hints in ADDRESSES:
         if any(h in flat for h in hints):
             for m in form.finditer(text):
-                add("address", *m.span())
+                if spans.free(*m.span()):
+                    part = m.groupdict()
+                    more = int(bool(part.get("unit") or part["town"]))
+                    term = note("street " + (part["kind"] or part["before"]).strip(".").casefold(), more, 1)
+                    add("address", *m.span(), term, SURE if more else FORM)
     numbers = list(LONG_NUMBER.finditer(text))
     if not numbers and not SIX_DIGITS.search(text):
-        return found
+        return found, spans
+
+    def personal(kind: str, a: int, b: int, grade: str = FORM) -> None:
+        """A number of a form, unless the label before it says that it is something else."""
+        term = f"{kind} {_shape(text[a:b])}"
+        if NOT_PERSONAL.search(text, max(0, a - 24), a):
+            note(term, 0, 1)
+        elif spans.free(a, b):
+            labelled = kind == "phone" and BEFORE_PHONE.search(text, max(0, a - 20), a)
+            term = note(term, int(bool(labelled)), int(bool(labelled)))
+            add(kind, a, b, term, SURE if labelled else grade)
+
     for m in numbers:
         if label := BEFORE_NUMBER.search(text, max(0, m.start() - 48), m.start()):
-            add("id_number", label.start(1) if label[1] else m.start(), m.end())
+            a, b = label.start(1) if label[1] else m.start(), m.end()
+            note("id_number " + _shape(text[a:b]), 1, 1)
+            add("id_number", a, b)
+    shaped = []
+    for m in SHAPE.finditer(text):
+        if before := BEFORE_SHAPE.search(text, max(0, m.start() - 5), m.start()):
+            shaped.append((before.start(), m.end()))
+            label = BEFORE_NUMBER.search(text, max(0, before.start() - 48), before.start())
+            if label and not label[1]:
+                if spans.free(before.start(), m.end()):  # else counted above
+                    note("id_number " + _shape(text[before.start() : m.end()]), 1, 1)
+                add("id_number", before.start(), m.end())
     for m in ID_FORMS.finditer(text):
-        if not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()):
-            add("id_number", *m.span())
+        personal("id_number", *m.span())
     for m in numbers:
         form = LABELLED_PHONE.match(text, m.start())
         if form and form.end() >= m.end() - 2 and BEFORE_PHONE.search(text, max(0, m.start() - 20), m.start()):
             add("phone", m.start(), EXTENSION.match(text, form.end()).end())
     for m in PHONE.finditer(text):
-        if not NOT_PERSONAL.search(text, max(0, m.start() - 24), m.start()) and sum(c.isdigit() for c in m[0]) >= 8:
-            add("phone", *m.span())
+        if sum(c.isdigit() for c in m[0]) >= 8:
+            personal("phone", *m.span())
     for m in TABLE_ID.finditer(text):
-        add("id_number", *m.span(1))
-    return found
+        personal("id_number", *m.span(1))
+    for a, b in shaped:
+        personal("id_number", a, b, BY_SHAPE)
+    return found, spans
+
+
+def fixed_places(text: str) -> list[tuple[str, int, int]]:
+    """Mail, address, identity number and phone places of a text before their terms are judged, without overlaps."""
+    return [x[:3] for x in graded_places(text, {})[0]]
 
 
-def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str | None, str | None, str]]:
+def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken: Spans) -> Iterator[tuple[int, int, str | None, str | None, str]]:
     """``(start, end, given term, family term, beside)``: terms that still need disclosure, null for parts that do not.
 
-    ``beside`` says what unknown terms stand beside: known, initial or alone; small for known names written small.
+    ``beside`` says what unknown terms stand beside: known, initial or alone; listed for two listed names, small for known
+    names written small.
     """
     n, i = len(ws), 0
     keys = _Keys(ws)
@@ -310,10 +397,10 @@ def person_forms(text: str, ws: list[tuple[str, int, int]], names: Names, taken:
         if tail.startswith(("et al", "et\nal")) or _thing(ws, last + 1) and text[end : ws[last + 1][1]].isspace():
             i = last + 1
             continue
-        if all(end <= x or y <= a for _, x, y in taken):
+        if taken.free(a, end):
             yield a, end, g, f, beside
         # a first word that may turn out to be none leaves what follows to forms of its own, and these do the same
-        if i <= unsure or g is not None and beside != "small":
+        if i <= unsure or g is not None and beside not in ("small", "listed"):
             unsure = max(unsure, last)
             i += 1
         else:
@@ -366,7 +453,7 @@ def _form(text: str, ws: list, keys: _Keys, i: int, names: Names) -> tuple[int,
             caps = cap and f[0].isupper()
             if kg and kf:
                 if caps:
-                    return k, None, None, "known"
+                    return k, key, fk, "listed"
                 if w.islower() and f.islower():
                     return k, key, fk, "small"
             elif kg and g == " " and k == i + 1 and w.islower() and f.islower() and len(f) > 2:
@@ -378,7 +465,7 @@ def _form(text: str, ws: list, keys: _Keys, i: int, names: Names) -> tuple[int,
                 return k, key, None, "known" if k == i + 1 else "alone"
             elif caps and k == i + 1 and names.is_given(fk):  # family name first
                 if names.is_family(key):
-                    return k, None, None, "known"
+                    return k, fk, key, "listed"
                 if not w.isascii():
                     return k, None, key, "known"
             elif caps and k == i + 1 and names.is_family(key) and not w.isascii() and not f.isascii():
@@ -396,7 +483,7 @@ def _form(text: str, ws: list, keys: _Keys, i: int, names: Names) -> tuple[int,
             goes_on = k + 1 < n and joined in " _" and names.is_family(keys[k + 1])
             if not goes_on:
                 if kf and kg:
-                    return (last, None, None, "known") if cap else (last, ok, key, "small")
+                    return last, ok, key, "listed" if cap else "small"
                 if cap and kf and not names.is_family(ok):
                     return last, ok, None, "known"
                 if cap and kg and not (joined == " " and ws[k + 1][0][0].isupper() and last == k):
@@ -425,15 +512,19 @@ def disclosure(counts: DataFrame) -> DataFrame:
     """``(term, role, below, below_any)``: how many bits the term's disclosure is below the full one.
 
     Disclosure is log2(p(role | term) / p(role)) over capitalised occurrences. Full disclosure, p(role | term) = 1, is
-    -log2 p(role), so what is missing is -log2 p(role | term). ``below_any`` is the same over all occurrences.
+    -log2 p(role), so what is missing is -log2 p(role | term). ``below_any`` is the same over all occurrences. Shapes
+    and kinds of streets have the role ``given`` too; there half a case is added on either side, as few are counted.
     """
+    words = ~F.col("term").startswith(_NO_WORD)
     parts = [
-        counts.where(F.col(f"n_{role}") > 0).select(
+        counts.where(words & (F.col(f"n_{role}") > 0)).select(
             "term", F.lit(role).alias("role"), _missing(F.col(f"n_{role}"), F.col("n_capital")).alias("below"), _missing(F.col(f"n_{role}"), F.col("n_capital") + F.col("n_small")).alias("below_any")
         )
         for role in ("given", "family")
     ]
-    return parts[0].unionByName(parts[1])
+    missing = _missing(F.col("n_given") + 0.5, F.col("n_capital") + F.lit(1.0))
+    shapes = counts.where(~words).select("term", F.lit("given").alias("role"), missing.alias("below"), missing.alias("below_any"))
+    return parts[0].unionByName(parts[1]).unionByName(shapes)
 
 
 def places(documents: DataFrame, names: DataFrame) -> DataFrame:
@@ -450,8 +541,8 @@ def places(documents: DataFrame, names: DataFrame) -> DataFrame:
         for batch in batches:
             out, seen = [], {}
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                taken = fixed_places(text)
-                out += [(doc_id, kind, a, b, None, None, None, *none) for kind, a, b in taken]
+                fixed, taken = graded_places(text, seen)
+                out += [(doc_id, kind, a, b, None if grade == SURE else term, None, grade, *none) for kind, a, b, term, grade in fixed]
                 ws = _words(text)
                 evidence(text, ws, known, seen)
                 out += [(doc_id, "person", *form, *none) for form in person_forms(text, ws, known, taken)]
@@ -465,7 +556,9 @@ def places(documents: DataFrame, names: DataFrame) -> DataFrame:
     both = stored(docs.mapInPandas(find, schema), "places")
     found = both.where("pii_type <> 'term'").drop(*n_columns)
     counts = stored(both.where("pii_type = 'term'").groupBy(F.col("given").alias("term")).agg(*[F.sum(c).alias(c) for c in n_columns]), "term-counts")
-    slack = F.when(F.col("beside") == "known", SLACK_KNOWN).when(F.col("beside") == "initial", SLACK_INITIAL).otherwise(SLACK_ALONE)
+    slack = F.lit(SLACK_ALONE)
+    for beside, bits in {"known": SLACK_KNOWN, "initial": SLACK_INITIAL, "listed": SLACK_LISTED, FORM: SLACK_FORM, BY_SHAPE: SLACK_SHAPE}.items():
+        slack = F.when(F.col("beside") == beside, bits).otherwise(slack)
     result = found.where("given is null and family is null")
     waits = found.where("given is not null or family is not null")
     scored = stored(passed_on(disclosure(counts), counts, waits), "disclosure")
