@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,11 +83,12 @@ _NUMBER_LABEL = (
     r"|passport (?:number|no\.?)|passport|Reisepass(?:-?Nr\.?)?|Personalausweis(?:-?Nr\.?)?|identity card(?: (?:number|no\.?))?|ID(?: (?:card|number|no\.?))?|patient (?:record|id|number|no\.?)|medical record(?: number)?|MRN|record(?: no\.?)?"
     r"|DNI|NIE|NIF|N[°º] de sécurité sociale|numéro de sécurité sociale|NIR|паспорт|СНИЛС|ИНН)"
 )
-LONG_NUMBER = re.compile(rf"(?<![\d./-])\d(?:[\s./-]?\d){{4,16}}(?:[\s-]?[A-Za-z](?![A-Za-z]))?(?![{_L}_\d])")
+LONG_NUMBER = re.compile(rf"\d(?<![\d./-]\d)(?:[\s./-]?\d){{4,16}}(?:[\s-]?[A-Za-z](?![A-Za-z]))?(?![{_L}_\d])")
 BEFORE_NUMBER = re.compile(rf"{_NUMBER_LABEL}\s?(?:[:：#]|is|n\.?º|nr\.?|no\.?)?\s?([A-Za-z]{{1,3}}[\s/-]?)?$")
-ID_FORMS = re.compile(
-    r"(?<![\w./-])(?:[A-Za-z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-Da-d]|\d{3}-\d\d-\d{4}|\d{3} \d\d \d{4}|\d{8}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-?[A-Z]|[12] \d\d \d\d \d\d \d{3} \d{3} \d\d)(?![\w]|[-/]\d)"
-)
+ID_FORMS = re.compile(r"\d(?<![\w./-]\d)(?:\d\d-\d\d-\d{4}|\d\d \d\d \d{4}|\d{7}-?[A-Z]|\d\.\d{3}\.\d{3}-?[A-Z]|(?<=[12]) \d\d \d\d \d\d \d{3} \d{3} \d\d)(?![\w]|[-/]\d)")
+#: A form with letters before the digits.
+LETTERS_FIRST = re.compile(r"\d\d\s?\d\d\s?\d\d\s?[A-Da-d](?![\w]|[-/]\d)")
+BEFORE_DIGITS = re.compile(r"(?<![\w./-])[A-Za-z]{2}\s?$")
 #: Numbers of no common form: digits, and the letters before them.
 SHAPE = re.compile(r"\d(?:[\s./-]?\d){5,12}(?![\w]|[-/.]\d)")
 BEFORE_SHAPE = re.compile(r"(?<![\w./-])([A-Z]{1,3})[\s/-]?$")
@@ -98,22 +100,24 @@ _CAP = r"[A-ZÀ-Þ][\w'’-]*"
 _TOWN = rf"(?P<town>,\s(?:[A-Z]{{2}}\s)?\d{{5}}(?:\s{_CAP})?|,\s{_CAP}(?:,\s[A-Z]{{2}}\s\d{{5}}|\s\d{{5}}(?!\d)|,\s[A-Z]{{2}}(?!\w)|(?=[,.;:)\]\n<|]|\s(?:and|was|is|for|on|in)\s|\s?\Z)))?"
 _TYPES = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Boulevard|Blvd\.?|Close|Drive|Dr\.|Court|Ct\.?|Crescent|Terrace|Place|Pl\.?|Square|Sq\.?|Way|Grove|Gardens|Row|Hill|Parkway|Highway)"
 _UNIT = r"(?P<unit>,?\s(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s?\w{1,5}|,?\s#\s?\d+\w?)?"
+# a digit comes first where one can, as a search for one character of a class is fast
 ADDRESS_FORMS = [
-    rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?(?:[-–]\d{{1,5}}[A-Za-z]?)?\s(?:{_CAP}\s){{1,3}}(?P<kind>{_TYPES}|{_TYPES.upper()})(?![\w]){_UNIT}{_TOWN}",
+    rf"\d(?<![\w.-]\d)\d{{0,4}}[A-Za-z]?(?:[-–]\d{{1,5}}[A-Za-z]?)?\s(?:{_CAP}\s){{1,3}}(?P<kind>{_TYPES}|{_TYPES.upper()})(?![\w]){_UNIT}{_TOWN}",
     rf"(?<![\w])(?:[A-ZÄÖÜ][\wäöüß-]*(?P<kind>straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer)|(?P<before>Am|An\sder|Im|Auf\sdem|Zum|Zur)\s[A-ZÄÖÜ][a-zäöüß]+)\s\d{{1,4}}(?:\s?[a-z](?![a-z]))?(?![\w%]|\.\d)(?P<town>,\s\d{{5}}\s[A-ZÄÖÜ][\wäöüß-]+)?",
-    rf"(?<![\w.-])\d{{1,4}}(?:\s(?:bis|ter|quater))?,?\s(?P<kind>rue|avenue|av\.|place|boulevard|bd|chemin|impasse|allée|quai|route|cours|square)\s(?:de\sla\s|de\s|du\s|des\s|d['’]|l['’])?{_CAP}(?:\s{_CAP})?(?P<town>,\s\d{{5}}\s{_CAP})?",
+    rf"\d(?<![\w.-]\d)\d{{0,3}}(?:\s(?:bis|ter|quater))?,?\s(?P<kind>rue|avenue|av\.|place|boulevard|bd|chemin|impasse|allée|quai|route|cours|square)\s(?:de\sla\s|de\s|du\s|des\s|d['’]|l['’])?{_CAP}(?:\s{_CAP})?(?P<town>,\s\d{{5}}\s{_CAP})?",
     rf"(?<![\w])(?P<kind>Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino|Carrera)\s?(?:de\sla\s|de\slos\s|de\s|del\s)?{_CAP},?\s\d{{1,4}}(?P<unit>,\s\d{{1,2}}\.?[ºª°](?:\s?[A-Z](?![\w]))?)?(?P<town>,\s\d{{5}}\s{_CAP})?",
     r"(?<![\w])(?P<kind>ул\.|улица|пр\.|проспект|пер\.)\s[А-Я][\w-]+,\s(?:д\.\s?)?\d{1,4}(?P<unit>,\sкв\.\s?\d+)?(?P<town>,\s\d{6})?",
 ]
-#: Each form with the words of which a text must have one, each white space of it taken as a blank.
+#: Each form with the words of which a text must have one, each white space of it taken as a blank; none where the form
+#: begins with a digit.
 ADDRESSES = [
     (re.compile(form), hints)
     for form, hints in zip(
         ADDRESS_FORMS,
         (
-            [f" {x}" for t in "Street St Road Rd Ave Lane Ln Boul Blvd Close Drive Dr. Court Ct Cresc Terr Pl Sq Way Grove Gard Row Hill Park High".split() for x in (t, t.upper())],
+            [""],
             "straße strasse str. weg platz allee gasse ring damm ufer".split() + ["Am ", "An der ", "Im ", "Auf dem ", "Zum ", "Zur "],
-            "rue avenue av. place boulevard bd chemin impasse allée quai route cours square".split(),
+            [""],
             "Calle C/ Avda. Avenida Plaza Paseo Camino Carrera".split(),
             "ул. улица пр. проспект пер.".split(),
         ),
@@ -128,7 +132,7 @@ ALONE = TITLES - {"nurse", "sister"}
 THINGS = frozenset(
     "hospital institute university clinic centre center college school foundation laboratory syndrome disease disorder test method score scale index reaction procedure operation sign criteria street road cohort study trial archive".split()
 )
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:[-‐][^\W\d_]+)*")
+WORD = re.compile(r"([^\W\d_]+(?:['’][^\W\d_]+)*(?:[-‐][^\W\d_]+)*)")
 # ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -158,7 +162,9 @@ def name_list(names: DataFrame) -> Names:
 
 def _words(text: str) -> list[tuple[str, int, int]]:
     """Words with their places, without a possessive ending."""
-    words = [(m[0], *m.span()) for m in WORD.finditer(text)]
+    parts = WORD.split(text)
+    at = list(accumulate(map(len, parts)))
+    words = list(zip(parts[1::2], at[::2], at[1::2], strict=False))
     if "'s" in text or "’s" in text or "'S" in text or "’S" in text:
         words = [(w[:-2], a, b - 2) if len(w) > 3 and w[-2] in "'’" and w[-1] in "sS" else (w, a, b) for w, a, b in words]
     return words
@@ -312,7 +318,7 @@ def graded_places(text: str, seen: dict[str, list[int]]) -> tuple[list[tuple[str
             add("email", local.start(), domain.end())
     flat = " ".join(text.split())
     for form, hints in ADDRESSES:
-        if any(h in flat for h in hints):
+        if hints[0] in flat or any(h in flat for h in hints):
             for m in form.finditer(text):
                 if spans.free(*m.span()):
                     part = m.groupdict()
@@ -349,6 +355,9 @@ def graded_places(text: str, seen: dict[str, list[int]]) -> tuple[list[tuple[str
                 add("id_number", before.start(), m.end())
     for m in ID_FORMS.finditer(text):
         personal("id_number", *m.span())
+    for m in LETTERS_FIRST.finditer(text):
+        if before := BEFORE_DIGITS.search(text, max(0, m.start() - 4), m.start()):
+            personal("id_number", before.start(), m.end())
     for m in numbers:
         form = LABELLED_PHONE.match(text, m.start())
         if form and form.end() >= m.end() - 2 and BEFORE_PHONE.search(text, max(0, m.start() - 20), m.start()):
