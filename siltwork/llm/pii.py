@@ -31,7 +31,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -536,33 +536,35 @@ def disclosure(counts: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(shapes)
 
 
-def places(documents: DataFrame, names: DataFrame) -> DataFrame:
+def places(documents: DataFrame, listed: DataFrame) -> DataFrame:
     """``(doc_id, pii_type, span_start, span_end)`` of all documents."""
-    known = name_list(names)
+    known = name_list(listed)
     docs = documents.where(F.length("text") > 0).select("doc_id", "text")
 
     n_columns = ["n_capital", "n_small", "n_given", "n_family"]
-    columns = ["doc_id", "pii_type", "span_start", "span_end", "given", "family", "beside", *n_columns]
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, pii_type string, span_start int, span_end int, given string, family string, beside string, "
+    schema += ", ".join(f"{c} bigint" for c in n_columns)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places and waiting forms, and per batch the counts of its terms (type ``term``, the term in ``given``)."""
-        none = (None,) * 4
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
+            types = [id_type, pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 3, *[pa.int64()] * 4]
             out, seen = [], {}
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 fixed, taken = graded_places(text, seen)
-                out += [(doc_id, kind, a, b, None if grade == SURE else term, None, grade, *none) for kind, a, b, term, grade in fixed]
+                out += [(doc_id, kind, a, b, None if grade == SURE else term, None, grade) for kind, a, b, term, grade in fixed]
                 ws = _words(text)
                 evidence(text, ws, known, seen)
-                out += [(doc_id, "person", *form, *none) for form in person_forms(text, ws, known, taken)]
-            out += [(None, "term", None, None, term, None, None, *row) for term, row in seen.items()]
-            frame = pd.DataFrame(out, columns=columns)
-            yield frame.astype({c: "Int64" for c in ("span_start", "span_end", *n_columns)} | ({"doc_id": "Int64"} if whole else {}))
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    whole = kind in ("bigint", "int")
-    schema = f"doc_id {kind}, pii_type string, span_start int, span_end int, given string, family string, beside string, " + ", ".join(f"{c} bigint" for c in n_columns)
-    both = stored(docs.mapInPandas(find, schema), "places")
+                out += [(doc_id, "person", *form) for form in person_forms(text, ws, known, taken)]
+            counts = [None, ["term"] * len(seen), None, None, list(seen), None, None, *zip(*seen.values(), strict=True)]
+            for columns, n in ((list(zip(*out, strict=True)) + [None] * 4, len(out)), (counts, len(seen))):
+                if n:
+                    arrays = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    both = stored(docs.mapInArrow(find, schema), "places")
     found = both.where("pii_type <> 'term'").drop(*n_columns)
     counts = stored(both.where("pii_type = 'term'").groupBy(F.col("given").alias("term")).agg(*[F.sum(c).alias(c) for c in n_columns]), "term-counts")
     slack = F.lit(SLACK_ALONE)
