@@ -1,4 +1,7 @@
-"""Inverted index: term frequencies, postings, document frequencies and norms."""
+"""Inverted index: term frequencies, postings, document frequencies and norms.
+
+Frequencies of documents that are already distributed by their id are counted without a shuffle.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.functions.text import analyze, idf_weight, tf_weight
+from siltwork.operators.ordering import with_place
+from siltwork.session import stored
 
 
 def term_frequencies(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -27,16 +32,20 @@ def document_norms(tf: DataFrame) -> DataFrame:
 
 
 def postings(tf: DataFrame, per_block: int = 100_000) -> DataFrame:
-    """``(term, block, df, postings)``: lists sorted by document, in blocks of bounded size.
+    """``(term, block, df, postings)``: lists in the order of documents, in blocks of at most ``per_block`` documents.
 
-    A term of a third of all documents would make one list of any length, so a list is cut by document ranges: the
-    block of a posting is a hash bucket of its document, as many of them as the term's frequency asks for.
+    A term of a third of all documents would make one list of any length, so a longer list is cut: block b has its
+    postings from place ``b * per_block`` on. Only terms of more than one block are put in a global order for that; the
+    others are grouped in one shuffle.
     """
-    n_blocks = F.ceil(F.col("df") / per_block).cast("int")
-    sized = tf.join(document_frequencies(tf), "term")
-    keyed = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int"))
     entries = F.array_sort(F.collect_list(F.struct("doc_id", "tf")))
-    return keyed.groupBy("term", "block").agg(F.first("df").alias("df"), entries.alias("postings"))
+    tf = stored(tf, "tf")
+    long_ = stored(document_frequencies(tf).where(F.col("df") > per_block), "long-lists")
+    if long_.isEmpty():
+        return tf.groupBy("term").agg(F.lit(0).cast("long").alias("block"), F.count(F.lit(1)).alias("df"), entries.alias("postings"))
+    short = tf.join(long_, "term", "left_anti").groupBy("term").agg(F.lit(0).cast("long").alias("block"), F.count(F.lit(1)).alias("df"), entries.alias("postings"))
+    placed = with_place(tf.join(long_, "term"), ["doc_id"], ["term"]).withColumn("block", F.floor(F.col("place") / per_block))
+    return short.unionByName(placed.groupBy("term", "block").agg(F.first("df").alias("df"), entries.alias("postings")))
 
 
 @dataclass

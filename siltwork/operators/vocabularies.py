@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.functions.text import analyze, is_alnum, marked
+from siltwork.operators.ordering import with_place
 from siltwork.session import stored
 
 BPE_SIZE, PIECE_SIZE = 300, 500
@@ -29,18 +30,11 @@ def train_entries(docs: DataFrame, fraction: float = 0.5) -> DataFrame:
 
     The place of a row is counted over ranges of line numbers, so the order needs no single task.
     """
-    width = 1 << 16
-    ranges = docs.groupBy(F.floor(F.col("line_no") / width).alias("r")).agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql.window import Window
-
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # one row per 65,536 lines
-    offsets = ranges.select("r", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"), F.sum("c").over(Window.partitionBy()).alias("total"))
-    within = Window.partitionBy("r").orderBy("line_no")
-    placed = docs.withColumn("r", F.floor(F.col("line_no") / width)).withColumn("i", F.row_number().over(within) - 1).join(F.broadcast(offsets), "r")
+    placed = with_place(docs.select("line_no", "title", "abstract"), ["line_no"])
+    n_entries = int(2 * docs.count() * fraction)
     entry = F.posexplode(F.array(F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))).alias("side", "text")
-    entries = placed.select((F.col("offset") + F.col("i")).alias("row"), "total", entry)
-    pos = F.col("row") * 2 + F.col("side")
-    return entries.where(pos < F.floor(F.col("total") * 2 * fraction)).select(pos.alias("pos"), "text")
+    entries = placed.where(F.col("place") * 2 < n_entries).select("place", entry)
+    return entries.select((F.col("place") * 2 + F.col("side")).alias("pos"), "text").where(F.col("pos") < n_entries)
 
 
 def word_frequencies(texts: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ TOP_DOCS = 20
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, line_no, title, abstract, text)`` of the collection."""
-    first = dedup.pick(table(spark, folder, "cord19_trec_covid_docs").select("line_no", "doc_id", "title", "abstract"), id_key("doc_id"), F.col("line_no"))
+    first = dedup.pick(table(spark, folder, "cord19_trec_covid_docs").select("line_no", "doc_id", "title", "abstract"), id_key("doc_id"), F.col("line_no"), as_key="doc_id")
     joined = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
-    return first.select(id_key("doc_id").alias("doc_id"), "line_no", "title", "abstract", joined.alias("text"))
+    return first.select("doc_id", "line_no", "title", "abstract", joined.alias("text"))
 
 
 def queries_of(spark: SparkSession, folder: str) -> DataFrame:
