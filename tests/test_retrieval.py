@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltwork.functions import text as T
-from siltwork.operators import dedup, fewshot, index, passages, rerank, search, vocabularies
+from siltwork.operators import dedup, fewshot, index, ordering, passages, rerank, search, vocabularies
 from siltwork.sources import readers, writers
 
 
@@ -160,12 +160,48 @@ def test_diverse(spark):
     groups = {f"q{g}": [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 25))] for g in range(5)}
     groups |= {"copies": ["alpha beta"] * 7, "letters": ["x I"] * 8, "few": ["same", "same"]}
     rows = [(q, i, 0, t) for q, ts in groups.items() for i, t in enumerate(ts)]
-    got = passages.diverse(spark.createDataFrame(rows, "query_id string, pos bigint, chunk int, passage string")).collect()
-    by = {}
-    for r in sorted(got, key=lambda r: (r["query_id"], r["step"])):
-        by.setdefault(r["query_id"], []).append(r["pos"])
-    assert by == {q: _diverse(ts) for q, ts in groups.items()}
-    assert by["copies"] == [0]
+    for in_task in (passages.IN_TASK, 0, 40):  # in one task, by steps, and both
+        got = passages.diverse(spark.createDataFrame(rows, "query_id string, pos bigint, chunk int, passage string"), in_task=in_task).collect()
+        by = {}
+        for r in sorted(got, key=lambda r: (r["query_id"], r["step"])):
+            by.setdefault(r["query_id"], []).append(r["pos"])
+        assert by == {q: _diverse(ts) for q, ts in groups.items()}
+        assert by["copies"] == [0]
+
+
+def test_postings_in_blocks(spark):
+    rng = random.Random(6)
+    tf = [(t, f"d{i:03}", rng.randrange(1, 4)) for t, n in (("hot", 100), ("seven", 7), ("eight", 8), ("one", 1)) for i in rng.sample(range(200), n)]
+    got = {(r["term"], r["block"]): (r["df"], [tuple(p) for p in r["postings"]]) for r in index.postings(spark.createDataFrame(tf, "term string, doc_id string, tf bigint"), 7).collect()}
+    expected = {}
+    for t in {x[0] for x in tf}:
+        rows = sorted((d, n) for term, d, n in tf if term == t)
+        expected |= {(t, b): (len(rows), rows[b * 7 : b * 7 + 7]) for b in range(-(-len(rows) // 7))}
+    assert got == expected
+
+
+def test_frequencies_need_no_shuffle_after_deduplication(spark):
+    docs = dedup.pick(spark.createDataFrame([("A", 1, "x y"), ("a", 2, "z")], "doc_id string, line_no bigint, text string"), F.lower("doc_id"), F.col("line_no"), as_key="doc_id")
+    assert index.term_frequencies(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in index.term_frequencies(docs).collect()} == {("x", "a", 1), ("y", "a", 1)}
+
+
+def test_places_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("aaab"), i) for i in rng.sample(range(-(10**12), 10**12), 400)]
+    df = spark.createDataFrame(rows, "g string, v bigint")
+    assert {r["v"]: r["place"] for r in ordering.with_place(df, ["v"]).collect()} == {v: i for i, v in enumerate(sorted(v for _, v in rows))}
+    expected = {(g, v): i for g in "ab" for i, v in enumerate(sorted(v for x, v in rows if x == g))}
+    assert {(r["g"], r["v"]): r["place"] for r in ordering.with_place(df, ["v"], ["g"]).collect()} == expected
+    assert ordering.with_place(df.limit(0), ["v"]).count() == 0
+
+
+def test_ranked_and_unmatched_candidates(spark):
+    rows = [("q", "b", 1.0), ("q", "a", 1.0), ("q", "c", 2.0), ("r", "a", 0.0)]
+    got = rerank.ranked(spark.createDataFrame(rows, "query_id string, doc_id string, score double")).collect()
+    assert {(r["query_id"], r["doc_id"]): r["rank"] for r in got} == {("q", "c"): 1, ("q", "a"): 2, ("q", "b"): 3, ("r", "a"): 1}
+    docs = spark.createDataFrame([("a",), ("a",), ("b",)], "doc_id string")
+    assert {tuple(r) for r in rerank.unmatched(spark.createDataFrame(rows, "query_id string, doc_id string, score double"), docs).collect()} == {("q", 3, 1), ("r", 1, 0)}
 
 
 def test_disjoint_widens_until_all_are_served(spark, monkeypatch):
