@@ -90,26 +90,33 @@ def expand(spark: SparkSession, a) -> None:
         chosen = fewshot.disjoint(tests.join(top, "query_id", "left"), full)
     else:
         chosen = fewshot.sample(tests, examples, counts)
-    made = fewshot.generate(fewshot.prompts(tests, chosen, examples, counts))
+    generator = fewshot.ChatGenerator(a.url, a.model, a.key_variable) if a.url else fewshot.echo
+    made = fewshot.generate(fewshot.prompts(tests, chosen, examples, counts), generator)
     writers.generated(made.withColumn("passage", T.clean_generated(F.col("passage"))).join(tests, "query_id"), a.out)
 
 
 def preprocess(spark: SparkSession, a) -> None:
     docs = dedup.pick(readers.id_text_tsv(spark, a.docs), F.col("doc_id"), F.col("pos"), last=True)
-    writers.preprocessed(docs.select("doc_id", T.preprocess(F.col("text"), T.lemma_rule).alias("tokens")), a.out)
+    if a.lemmas:
+        tokens = T.preprocess_with_table(docs.select("doc_id", "text"), readers.lemma_table(spark, a.lemmas))
+    else:
+        tokens = docs.select("doc_id", T.preprocess(F.col("text"), T.lemma_rule).alias("tokens"))
+    writers.preprocessed(tokens, a.out)
 
 
 def score(spark: SparkSession, a) -> None:
     docs = dedup.pick(readers.id_text_tsv(spark, a.docs), F.col("doc_id"), F.col("pos"), last=True).select("doc_id", T.words(F.col("text")).alias("tokens"))
     made = readers.generated(spark, a.generated)
     both = F.concat_ws(" ", F.col("k").cast("string"), "query_id")
-    query = T.expand_query(F.col("query"), T.preprocess(F.col("passage"), T.lemma_rule))
+    query = T.expand_query(F.col("query"), T.preprocess(F.col("passage"), T.lemma_rule), preprocessed=a.preprocess_query)
     terms = made.select(both.alias("query_id"), F.explode(T.words(query)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     judged = dedup.pick(readers.qrels(spark, a.qrels), F.struct("query_id", "doc_id"), F.col("pos"), last=True)
     candidates = rerank.with_relevance(readers.top_docs(spark, a.top_docs), judged).join(made.select("query_id", "k"), "query_id").withColumn("query_id", both)
     scored = rerank.bm25(candidates, docs, terms).join(candidates.select("query_id", "doc_id", "rel"), ["query_id", "doc_id"])
     per_query = rerank.ndcg(scored).withColumn("k", F.split("query_id", " ")[0].cast("int"))
     writers.report(rerank.mean_ndcg(per_query, ["k"]), a.out)
+    if a.ranking:
+        writers.ranking(rerank.ranked(scored), a.ranking)
 
 
 COMMANDS = {
@@ -119,12 +126,14 @@ COMMANDS = {
     "search": (run_search, ["queries", "out", "index", "--k"]),
     "diverse-passages": (extract, ["docs", "queries", "qrels", "out"]),
     "random-passages": (extract, ["docs", "queries", "qrels", "out"]),
-    "expand": (expand, ["passages", "tests", "out"]),
-    "expand-disjoint": (expand, ["passages", "tests", "train", "top_docs", "out"]),
-    "preprocess": (preprocess, ["docs", "out"]),
-    "score": (score, ["docs", "generated", "top_docs", "qrels", "out"]),
+    "expand": (expand, ["passages", "tests", "out", "--url", "--model", "--key-variable"]),
+    "expand-disjoint": (expand, ["passages", "tests", "train", "top_docs", "out", "--url", "--model", "--key-variable"]),
+    "preprocess": (preprocess, ["docs", "out", "--lemmas"]),
+    "score": (score, ["docs", "generated", "top_docs", "qrels", "out", "--ranking", "--preprocess-query"]),
 }
 
+OPTIONS = {"--k": {"type": int, "default": 100}, "--preprocess-query": {"action": "store_true"}}
+
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="siltwork")
@@ -132,7 +141,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     for name, (_, names) in COMMANDS.items():
         p = sub.add_parser(name)
         for n in names:
-            p.add_argument(n, **({"type": int, "default": 100} if n == "--k" else {}))
+            p.add_argument(n, **OPTIONS.get(n, {}))
     a = parser.parse_args(args)
     a.how = a.command.split("-")[0]
     a.top_docs = getattr(a, "top_docs", None)

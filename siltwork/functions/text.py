@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters between tokens, without and with white space other than the blank.
@@ -115,8 +115,27 @@ def preprocess(text: Column, lemma=None) -> Column:
     return F.filter(tokens, lambda x: x.rlike(r"^\p{L}+$"))
 
 
-def expand_query(query: Column, passage_tokens: Column, times: int = 5) -> Column:
-    """The query ``times`` over, a blank after each, then the tokens of a generated passage."""
+def preprocess_with_table(texts: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, text; unique ids) as ``(doc_id, tokens)``: as ``preprocess``, base forms out of ``lemmas``
+    (token, lemma; unique tokens). A token without one stays as it is. Texts without tokens have an empty array."""
+    tokens = texts.select("doc_id", without_stop_words(word_tokens(collapse(lower_text(F.col("text"))))).alias("t"))
+    each = tokens.select("doc_id", F.posexplode("t").alias("at", "token")).join(lemmas, "token", "left")
+    kept = each.withColumn("token", F.coalesce("lemma", "token")).where(F.col("token").rlike(r"^\p{L}+$"))
+    lists = kept.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"))
+    return texts.select("doc_id").join(lists, "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+
+
+def lower_text(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def expand_query(query: Column, passage_tokens: Column, times: int = 5, preprocessed: bool = False) -> Column:
+    """The query ``times`` over, a blank after each, then the tokens of a generated passage.
+
+    The query stays as it is, so its capitals match no document in small letters, unless it is to be ``preprocessed``.
+    """
+    if preprocessed:
+        query = F.array_join(preprocess(query, lemma_rule), " ")
     return F.concat(F.repeat(F.concat(query, F.lit(" ")), times), F.array_join(passage_tokens, " "))
 
 

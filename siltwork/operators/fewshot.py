@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -47,15 +52,19 @@ def sample(tests: DataFrame, examples: DataFrame, shot_counts: tuple[int, ...] =
     """``(query_id, k, shot, example_id)``: k examples per query without replacement, all if there are fewer.
 
     As many as needed follow each other in the random order from a random start, so queries meet examples in an
-    equi-join on the place.
+    equi-join on the place. A query is no example of its own: one more place is looked at, and its own left out.
     """
     order = stored(numbered(examples.select("example_id"), seed), "order")
     n = order.count()
     if not n:
         return order.select(F.lit("").alias("query_id"), F.lit(0).alias("k"), F.lit(0).alias("shot"), "example_id")
     wanted = shots(tests.select("query_id"), shot_counts).where("k > 0")
-    wanted = wanted.select("query_id", "k", start_of(F.col("query_id"), F.col("k"), n, seed).alias("start"), F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.lit(n)) - 1)).alias("shot"))
-    return wanted.withColumn("at", (F.col("start") + F.col("shot")) % n).join(order, "at").select("query_id", "k", "shot", "example_id")
+    wanted = wanted.select("query_id", "k", start_of(F.col("query_id"), F.col("k"), n, seed).alias("start"), F.explode(F.sequence(F.lit(0), F.least(F.col("k") + 1, F.lit(n)) - 1)).alias("shot"))
+    met = wanted.withColumn("at", (F.col("start") + F.col("shot")) % n).join(order, "at")
+    own = F.min(F.when(F.col("example_id") == F.col("query_id"), F.col("shot"))).over(Window.partitionBy("query_id", "k"))  # at most k + 1 rows
+    shot = F.when(F.col("shot") > F.col("own"), F.col("shot") - 1).otherwise(F.col("shot"))
+    rest = met.withColumn("own", own).where("own is null or shot <> own").withColumn("shot", shot.cast("int"))
+    return rest.where("shot < k").select("query_id", "k", "shot", "example_id")
 
 
 def disjoint(tests: DataFrame, examples: DataFrame, shot_counts: tuple[int, ...] = (1, 2, 3, 4), seed: str = "0") -> DataFrame:
@@ -102,12 +111,58 @@ def prompts(tests: DataFrame, chosen: DataFrame, examples: DataFrame, shot_count
     return all_.select("query_id", "k", F.size(shown).alias("n_shots"), prompt(shown, F.col("query")).alias("prompt"))
 
 
+#: What a model is told before each prompt, and how it generates.
+SYSTEM_PROMPT = "Write a passage that answers only the last query. Do not give answers for example queries."
+TEMPERATURE, MAX_TOKENS, TOP_P = 0.5, 128, 1
+
+
 class Generator(Protocol):
     """Makes one text per prompt. A remote model takes its credentials from the environment of the workers."""
 
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
+@dataclass(frozen=True)
+class ChatGenerator:
+    """Asks a model behind a chat completion service, one request a prompt.
+
+    ``key_variable`` names the variable of the workers' environment that holds the credential; without it none is sent.
+    A failed request is tried again ``tries`` times in all, then the task fails.
+    """
+
+    url: str
+    model: str
+    key_variable: str | None = None
+    system_prompt: str = SYSTEM_PROMPT
+    temperature: float = TEMPERATURE
+    max_tokens: int = MAX_TOKENS
+    top_p: float = TOP_P
+    timeout: float = 60.0
+    tries: int = 3
+
+    def body(self, prompt_: str) -> dict:
+        messages = [{"role": "system", "content": self.system_prompt}, {"role": "user", "content": prompt_}]
+        return {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens, "top_p": self.top_p}
+
+    def one(self, prompt_: str) -> str:
+        headers = {"Content-Type": "application/json"}
+        if self.key_variable:
+            headers["Authorization"] = f"Bearer {os.environ[self.key_variable]}"
+        request = urllib.request.Request(self.url, json.dumps(self.body(prompt_)).encode(), headers)
+        for left in reversed(range(self.tries)):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                    return json.load(answer)["choices"][0]["message"]["content"] or ""
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(1.0)
+        raise ValueError("tries must be at least 1")
+
+    def __call__(self, prompts_: list[str]) -> list[str]:
+        return [self.one(p) for p in prompts_]
+
+
 def echo(prompts_: list[str]) -> list[str]:
     """Stand-in without a model: the passage of the last example, else the query."""
     out = []

@@ -12,8 +12,8 @@ from siltwork.session import stored
 
 #: A passage this close to all selected ones is a copy of them.
 SAME = 1e-12
-#: Tokens and passages of a query that one task may hold: some 20 MB.
-IN_TASK = 100_000
+#: Tokens and passages of a query that one task may hold: some 60 MB of strings and arrays.
+IN_TASK = 500_000
 
 
 def relevant(qrels: DataFrame, queries: DataFrame) -> DataFrame:

@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.functions.text import analyze, is_alnum, marked
+from siltwork.functions.text import analyze, is_alnum, marked, piece_score
 from siltwork.operators.ordering import with_place
 from siltwork.session import stored
 
 BPE_SIZE, PIECE_SIZE = 300, 500
-#: Distinct words that may come to the driver: some 100 MB.
-DRIVER_WORDS = 2_000_000
+#: Distinct words that may come to the driver: 250 MB, as measured for words of nine symbols.
+DRIVER_WORDS = 300_000
 UNKNOWN = "UNK"
 
 
@@ -62,9 +62,9 @@ def piece_pair_scores(words: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.struct(F.element_at("s", i).alias("left"), F.element_at("s", i + 1).alias("right")))
     freq = counted.select("freq", F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"))
     left, right = single.select(F.col("t").alias("left"), F.col("f").alias("fl")), single.select(F.col("t").alias("right"), F.col("f").alias("fr"))
-    part = lambda f, t: F.when(is_alnum(F.col(t)), F.sqrt(F.col(f).cast("double"))).otherwise(F.col(f).cast("double"))
     joined = freq.join(left, "left").join(right, "right")
-    return joined.select("left", "right", "freq", (F.col("freq") / part("fl", "left") / part("fr", "right")).alias("score"))
+    score = piece_score(F.col("freq"), F.col("fl"), is_alnum(F.col("left")), F.col("fr"), is_alnum(F.col("right")))
+    return joined.select("left", "right", "freq", score.alias("score"))
 
 
 @dataclass
@@ -257,8 +257,8 @@ class PieceEncoder:
         return out
 
 
-def encode(tokens: Column, vocabulary: Vocabulary) -> Column:
-    """``array<int>`` of an array of words; each worker keeps the words it has met."""
+def encoder(vocabulary: Vocabulary):
+    """Arrow function from an array of words to ``array<int>``; each worker keeps the words it has met."""
     make = {"bpe": BpeEncoder, "wordpiece": PieceEncoder}[vocabulary.kind]
 
     @F.pandas_udf("array<int>")
@@ -278,7 +278,12 @@ def encode(tokens: Column, vocabulary: Vocabulary) -> Column:
                 out.append(ids)
             yield pd.Series(out, dtype=object)
 
-    return run(tokens)
+    return run
+
+
+def encode(tokens: Column, vocabulary: Vocabulary) -> Column:
+    """``array<int>`` of an array of words."""
+    return encoder(vocabulary)(tokens)
 
 
 def unknown_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.functions import registry
 from siltwork.functions import text as T
 from siltwork.operators import dedup, fewshot, index, passages, rerank, search, vocabularies
 from siltwork.session import stored
@@ -136,9 +137,9 @@ def tfidf_top100(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tfidf_zero_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """The same by titles alone, lists filled up to 100 with documents that match nothing."""
+    """The same, lists filled up to 100 with documents that match nothing."""
     built = _index(spark, folder)
-    tests = tests_of(spark, folder).select("query_id", F.col("title").alias("text"))
+    tests = tests_of(spark, folder)
     top = search.with_zero_fill(built, tests, search.scores(built, tests), TOP)
     return top.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
@@ -165,7 +166,14 @@ def _vocabulary(spark: SparkSession, folder: str, kind: str) -> vocabularies.Voc
 
 
 def bpe_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return _vocabulary(spark, folder, "bpe").tables(spark)[0]
+    """Tokens as they are shown: a word's boundary is Ġ."""
+    return _vocabulary(spark, folder, "bpe").tables(spark)[0].select("token_id", T.shown(F.col("token")).alias("token"))
+
+
+def analyze_simple(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of tokens of every document of the collection, by the function registered for SQL."""
+    registry.register(spark)
+    return corpus(spark, folder).select("doc_id", F.expr("size(analyze_simple(text))").alias("n_tokens"))
 
 
 def wordpiece_vocab(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,17 +230,17 @@ def diverse_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.diverse(passages.candidates(_relevant(spark, folder), docs_of(spark, folder)))
 
 
-def _examples(spark: SparkSession, folder: str) -> DataFrame:
+def _examples(spark: SparkSession, folder: str, of: str = "not test") -> DataFrame:
     """``(example_id, query, passage, top_docs)``: the first passage of the first relevant document of each query for training."""
     found = passages.candidates(_relevant(spark, folder), docs_of(spark, folder))
     first = found.groupBy("query_id").agg(F.min_by("passage", F.struct("pos", "chunk")).alias("passage"))
-    train = queries_of(spark, folder).where("not test and trim(title) <> ''")
+    train = queries_of(spark, folder).where(f"({of}) and trim(title) <> ''")
     rows = train.join(first, "query_id").join(top_docs_of(spark, folder), "query_id", "left")
     return rows.select(F.col("query_id").alias("example_id"), F.col("title").alias("query"), "passage", "top_docs")
 
 
-def _tests(spark: SparkSession, folder: str) -> DataFrame:
-    return tests_of(spark, folder).join(top_docs_of(spark, folder), "query_id", "left").select("query_id", F.col("title").alias("query"), "top_docs")
+def _tests(spark: SparkSession, folder: str, tests: DataFrame | None = None) -> DataFrame:
+    return (tests or tests_of(spark, folder)).join(top_docs_of(spark, folder), "query_id", "left").select("query_id", F.col("title").alias("query"), "top_docs")
 
 
 def fewshot_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,6 +253,17 @@ def disjoint_examples(spark: SparkSession, folder: str) -> DataFrame:
     return fewshot.disjoint(_tests(spark, folder), _examples(spark, folder))
 
 
+def fewshot_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples for every query and number of shots, among the examples of all other queries."""
+    return fewshot.sample(queries_of(spark, folder), _examples(spark, folder, "true"))
+
+
+def disjoint_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same among examples that share no word and no top document with the query."""
+    asked = queries_of(spark, folder).where("trim(title) <> ''")
+    return fewshot.disjoint(_tests(spark, folder, asked), _examples(spark, folder, "true"))
+
+
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     tests, examples = _tests(spark, folder), stored(_examples(spark, folder), "examples")
     return fewshot.prompts(tests, fewshot.disjoint(tests, examples), examples, (0, 1, 2, 3, 4))
@@ -313,6 +332,16 @@ def bm25_rerank(spark: SparkSession, folder: str) -> DataFrame:
     return _bm25_judged(spark, folder).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rel")
 
 
+def bm25_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the rank of each document in its query."""
+    return rerank.ranked(bm25_rerank(spark, folder)).select("query_id", "doc_id", "rank", "score")
+
+
+def missing_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates of every query of ``run_file``, and how many have no document in the collection."""
+    return rerank.unmatched(run_of(spark, folder), corpus(spark, folder))
+
+
 def ndcg(spark: SparkSession, folder: str) -> DataFrame:
     """NDCG of this ranking for every query and cut-off."""
     per_query = rerank.ndcg(_bm25_judged(spark, folder).withColumn("score", F.round("score", 6)))
@@ -332,9 +361,9 @@ def shot_sweep(spark: SparkSession, folder: str) -> DataFrame:
     terms = expanded.select(both.alias("query_id"), F.explode(T.words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     judged = qrels_of(spark, folder).join(expanded.select("k", "query_id"), "query_id").withColumn("query_id", both)
     tokens = docs_of(spark, folder).select("doc_id", T.preprocess(F.col("text")).alias("tokens"))
-    scored = rerank.with_relevance(rerank.bm25(judged, tokens, terms), judged)
+    scored = rerank.with_relevance(rerank.bm25(judged, tokens, terms), judged).withColumn("score", F.round("score", 6))
     per_query = rerank.ndcg(scored).withColumn("k", F.split("query_id", " ")[0].cast("int"))
-    return rerank.mean_ndcg(per_query, ["k"])
+    return rerank.mean_ndcg(per_query, ["k"]).select("k", "cutoff", F.round("ndcg", 6).alias("ndcg"))
 
 
 QUERIES = {
@@ -344,6 +373,7 @@ QUERIES = {
         tfidf_zero_fill, oov_unk, bpe_pair_freq, wordpiece_pair_score, bpe_vocab, wordpiece_vocab, bpe_encode, wordpiece_encode, bpe_index_df, qrels_filtered,
         sentence_chunks, first_passage, random_passages, diverse_passages, fewshot_sample, disjoint_examples, prompt, generate, clean_generated,
         preprocess_tokens, preprocess_lemmas, expand_query, rel_join, bm25_run, bm25_rerank, ndcg, ndcg_mean, shot_sweep,
+        analyze_simple, fewshot_all, disjoint_all, bm25_ranked, missing_candidates,
     )
 }
 
@@ -412,6 +442,7 @@ wanted as (
   select query_id, title, k, ('0x' || substr(md5('0|start|' || query_id || '|' || k), 1, 12))::bigint % n as start, n
   from tests, (select unnest([1, 2, 3, 4]) as k), n
 )"""
+_EXAMPLES_ALL = _EXAMPLES.replace("where not q.test and trim", "where trim").replace("from tests, (select unnest([1", "from queries, (select unnest([1")
 _DISJOINT = _EXAMPLES + """,
 split_words as (select w.*, list_filter(regexp_split_to_array(w.title, '[\\s\\x0B\\x{85}\\p{Z}]+'), lambda x: x <> '') as ws, coalesce(top_docs, []) as td from wanted w left join top using (query_id)),
 fits as (
@@ -421,12 +452,20 @@ fits as (
 ),
 chosen as (select * from fits where shot < k)"""
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
-_TOKENS = (
-    "array_to_string(list_filter(regexp_extract_all(regexp_replace(trim(regexp_replace(lower(text), '[\\s\\x0B\\x{85}\\p{Z}]+', ' ', 'g')), "
-    "'(" + T.CLITIC.replace("'", "''") + ")([^\\p{L}\\p{M}\\p{N}_]|$)', ' \\1 \\2', 'g'), '" + T.CLITIC.replace("'", "''")
-    + "|[\\p{L}\\p{M}\\p{N}_]+(?:[-.][\\p{L}\\p{M}\\p{N}_]+)*|[^\\s\\x0B\\x{85}\\p{Z}\\p{L}\\p{M}\\p{N}_]'), "
-    f"lambda x: x not in ({_STOP}) and regexp_full_match(x, '\\p{{L}}+')), ' ')"
-)
+def _tokens_sql(column: str, each: str = "") -> str:
+    """Tokens of a text as the functions make them, joined by blanks; ``each`` is applied to every one, called x."""
+    clitic = T.CLITIC.replace("'", "''")
+    cut = (
+        f"regexp_extract_all(regexp_replace(trim(regexp_replace(lower({column}), '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g')), "
+        f"'({clitic})([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)', ' \\1 \\2', 'g'), '{clitic}"
+        "|[\\p{L}\\p{M}\\p{N}_]+(?:[-.][\\p{L}\\p{M}\\p{N}_]+)*|[^\\s\\x0B\\x{85}\\p{Z}\\p{L}\\p{M}\\p{N}_]')"
+    )
+    kept = f"list_filter({cut}, lambda x: x not in ({_STOP}))"
+    if each:
+        kept = f"list_transform({kept}, lambda x: {each})"
+    return f"array_to_string(list_filter({kept}, lambda x: regexp_full_match(x, '\\p{{L}}+')), ' ')"
+
+
 _BM25 = """
 d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\x0B\\x{85}\\p{Z}]+'), lambda x: x <> '') as tokens from docs),
 pairs as (select query_id, doc_id, len(tokens) as dl, rel from qrels join d using (doc_id) where query_id in (select query_id from queries)),
@@ -453,6 +492,37 @@ nd as (
 ),
 per_query as (select query_id, cutoff, case when ideal <> 0 then dcg / ideal else 0 end as ndcg from nd)"""
 
+_SPLIT = "list_filter(regexp_split_to_array({0}, '[\\s\\x0B\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')"
+_LEMMA = """case when length(x) <= 3 then x when regexp_matches(x, 'ies$') then regexp_replace(x, 'ies$', 'y') when regexp_matches(x, '(s|x|z|ch|sh)es$') then regexp_replace(x, '(s|x|z|ch|sh)es$', '\\1')
+  when regexp_matches(x, 'men$') then regexp_replace(x, 'men$', 'man') when regexp_matches(x, 'ves$') then regexp_replace(x, 'ves$', 'f')
+  when regexp_matches(x, '[^s]s$') and not regexp_matches(x, '(us|is)$') then regexp_replace(x, 's$', '') else x end"""
+_MADE = """,
+asked as (
+  select t.query_id, k.k, coalesce(string_agg('Example Query: ' || c.query || chr(10) || 'Example Passage: ' || c.passage || chr(10) || chr(10), '' order by c.shot), '') || 'Query: ' || t.title || chr(10) || 'Passage: ' as p
+  from tests t cross join (select unnest([0, 1, 2, 3, 4]) as k) k left join chosen c on c.query_id = t.query_id and c.k = k.k group by t.query_id, k.k, t.title
+),
+ended as (
+  select query_id, k, list_filter(string_split(p, chr(10)), lambda x: starts_with(x, 'Example Passage: ')) as e, list_filter(string_split(p, chr(10)), lambda x: starts_with(x, 'Query: ')) as q from asked
+),
+made as (
+  select query_id, k, regexp_replace(regexp_replace(regexp_replace(case when len(e) > 0 then substr(e[len(e)], 18) else substr(q[len(q)], 8) end, '\\n+', ' ', 'g'), '\\t+', ' ', 'g'), ' +', ' ', 'g') as passage
+  from ended
+)"""
+_DIVERSE = """,
+cand as (select query_id, pos, chunk, passage, row_number() over (partition by query_id order by pos, chunk) - 1 as i, count(*) over (partition by query_id) as n from rel join cut using (doc_id)),
+tok as (select query_id, i, n, unnest(regexp_extract_all(lower(passage), '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}]{2,}')) as term from cand where n > 5),
+ptf as (select query_id, i, n, term, count(*) as tf from tok group by all),
+raw as (select *, tf * (ln((1e0 + n) / (1e0 + count(*) over (partition by query_id, term))) + 1e0) as rw from ptf),
+unit as (select query_id, i, term, rw / sqrt(sum(rw * rw) over (partition by query_id, i)) as w from raw),
+p0 as (select query_id, i from cand where n > 5 and i = 0),
+c0 as (select query_id, i, 0e0 as sim from cand where n > 5 and query_id in (select query_id from unit))""" + "".join(
+    f""",
+d{s} as (select u.query_id, u.i, sum(u.w * v.w) as dot from p{s - 1} p join unit v on v.query_id = p.query_id and v.i = p.i join unit u on u.query_id = v.query_id and u.term = v.term group by all),
+c{s} as (select c.query_id, c.i, c.sim + coalesce(dot, 0) as sim from c{s - 1} c join p{s - 1} p on p.query_id = c.query_id and p.i <> c.i left join d{s} d on d.query_id = c.query_id and d.i = c.i),
+p{s} as (select query_id, i from (select query_id, i, round(sim / {s}, 12) as m from c{s}) where m < 1 - 1e-12 qualify row_number() over (partition by query_id order by m, i) = 1)"""
+    for s in range(1, 5)
+)
+
 _W = "with " + _CORPUS
 _WQ = "with " + _QUERIES
 _WD = "with " + _QUERIES + "," + _DOCS
@@ -466,14 +536,15 @@ ORACLE = {
     "vocab": _W + " select term from df union all select 'UNK'",
     "train_prefix": _W + "," + _TRAIN.format(cut=_CUT.format("text")) + " select pos, text from train",
     "term_doc_tf": _W + " select * from tf",
-    "postings": _W + " select term, 0 as block, count(*) as df, string_agg(doc_id || ':' || tf, ',' order by doc_id) as postings from tf group by 1",
+    "postings": _W + """, placed as (select *, (row_number() over (partition by term order by doc_id) - 1) // 100000 as block, count(*) over (partition by term) as df from tf)
+    select term, cast(block as bigint) as block, df, string_agg(doc_id || ':' || tf, ',' order by doc_id) as postings from placed group by 1, 2, 3""",
     "doc_freq": _W + " select * from df",
     "idf": _W + " select term, df, round(log2(1 + n / cast(df as double)), 6) as idf from df, (select cast(count(*) as double) as n from norms)",
     "doc_norm": _W + " select doc_id, round(norm, 6) as norm from norms",
     "query_tf": _WQ + f" select query_id, term, count(*) as qtf from (select query_id, unnest({_CUT.format('text')}) as term from queries) group by 1, 2",
     "tfidf_top100": _W + "," + _QUERIES + "," + _SCORES.format(cut=_CUT.format("text"))
     + f" select query_id, 0 as iter, doc_id, round(score, 6) as score from scores qualify row_number() over (partition by query_id order by score desc, doc_id desc) <= {TOP}",
-    "tfidf_zero_fill": _W + "," + _QUERIES + "," + _SCORES.format(cut=_CUT.format("title"))
+    "tfidf_zero_fill": _W + "," + _QUERIES + "," + _SCORES.format(cut=_CUT.format("text"))
     + f""" select t.query_id, d.doc_id, round(coalesce(score, 0), 6) as score from tests t cross join norms d left join scores s on s.query_id = t.query_id and s.doc_id = d.doc_id
     qualify row_number() over (partition by t.query_id order by coalesce(score, 0) desc, d.doc_id desc) <= {TOP}""",
     "oov_unk": _W + "," + _QUERIES + f""" select query_id, count(*) as n_terms, count(*) filter (where d.term is null) as n_unknown
@@ -501,7 +572,33 @@ ORACLE = {
     replace(coalesce(string_agg('Example Query: ' || c.query || chr(10) || 'Example Passage: ' || c.passage || chr(10) || chr(10), '' order by c.shot), '') || 'Query: ' || t.title || chr(10) || 'Passage: ', chr(10), '\\n') as prompt
     from tests t cross join (select unnest([0, 1, 2, 3, 4]) as k) k left join chosen c on c.query_id = t.query_id and c.k = k.k group by t.query_id, k.k, t.title""",
     "clean_generated": _WD + " select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\n+', ' ', 'g'), '\\t+', ' ', 'g'), ' +', ' ', 'g') as text from docs",
-    "preprocess_tokens": _W + f" select doc_id, {_TOKENS} as tokens from corpus",
+    "analyze_simple": _W + f" select doc_id, cast(len({_CUT.format('text')}) as int) as n_tokens from corpus",
+    "fewshot_all": _WD + "," + _CHUNKS + "," + _EXAMPLES_ALL + """, met as (
+      select query_id, k, shot, example_id, min(case when example_id = query_id then shot end) over (partition by query_id, k) as own
+      from (select query_id, k, start, n, unnest(range(0, least(k + 1, n))) as shot from wanted) w join examples e on e.at = (w.start + w.shot) % w.n
+    ),
+    rest as (select query_id, k, case when shot > own then shot - 1 else shot end as shot, example_id from met where own is null or shot <> own)
+    select query_id, k, cast(shot as int) as shot, example_id from rest where shot < k""",
+    "disjoint_all": _WD + "," + _CHUNKS + "," + _DISJOINT.replace(_EXAMPLES, _EXAMPLES_ALL)
+    + " select query_id, k, cast(shot as int) as shot, example_id from chosen where query_id in (select query_id from queries where trim(title) <> '')",
+    "bm25_ranked": _WD + "," + _BM25 + " select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, score from bm",
+    "missing_candidates": _W + f""", run as (select distinct {_KEY('query_id')} as query_id, {_KEY('doc_id')} as doc_id from run_file where query_id is not null and doc_id is not null)
+    select query_id, count(*) as n_candidates, count(*) filter (where c.doc_id is null) as n_missing from run r left join (select doc_id from corpus) c on c.doc_id = r.doc_id group by 1""",
+    "generate": _WD + "," + _CHUNKS + "," + _DISJOINT + _MADE + " select query_id, k, passage from made",
+    "diverse_passages": _WD + "," + _CHUNKS + _DIVERSE + """, picks as (
+      select query_id, cast(i as int) as step, i from cand where n <= 5 union all select query_id, 0, i from p0 union all select query_id, 1, i from p1
+      union all select query_id, 2, i from p2 union all select query_id, 3, i from p3 union all select query_id, 4, i from p4
+    )
+    select query_id, step, pos, cast(chunk as int) as chunk, passage from picks join cand using (query_id, i)""",
+    "preprocess_lemmas": _W + f" select doc_id, {_tokens_sql('text', _LEMMA)} as tokens from corpus",
+    "shot_sweep": _WD + "," + _CHUNKS + "," + _DISJOINT + _MADE + f""",
+    expanded as (select m.k || ' ' || query_id as query_id, query_id as raw_id, repeat(title || ' ', 5) || {_tokens_sql('passage')} as query from made m join tests using (query_id)),
+    qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({_SPLIT.format('query')}) as term from expanded) group by 1, 2),
+    d as (select doc_id, list_filter(string_split({_tokens_sql("coalesce(text, '')")}, ' '), lambda x: x <> '') as tokens from docs),
+    pairs as (select e.query_id, doc_id, len(tokens) as dl, rel from qrels q join expanded e on e.raw_id = q.query_id join d using (doc_id)),"""
+    + _BM25[_BM25.index("st as ("):_BM25.index("qt as (")] + _BM25[_BM25.index("sc as ("):] + _NDCG[len(_BM25):]
+    + " select cast(split_part(query_id, ' ', 1) as int) as k, cutoff, round(avg(ndcg), 6) as ndcg from per_query group by 1, 2",
+    "preprocess_tokens": _W + f" select doc_id, {_tokens_sql('text')} as tokens from corpus",
     "expand_query": _WQ + """ select query_id, repeat(title || ' ', 5) || array_to_string(list_filter(regexp_split_to_array(coalesce(narrative, ''), '[\\s\\x0B\\x{85}\\p{Z}]+'), lambda x: x <> ''), ' ') as query
     from queries where query_id in (select query_id from (select * from queries_file qualify row_number() over (partition by query_id order by loaded_at desc nulls last) = 1) where title is not null)""",
     "rel_join": _WD + f""", pairs as (select {_KEY('query_id')} as query_id, {_KEY('doc_id')} as doc_id from run_file where query_id is not null and doc_id is not null union select query_id, doc_id from qrels)

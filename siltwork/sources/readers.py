@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.operators.ordering import with_place
+
 CORPUS = "doc_id string, title string, abstract string"
 QUERIES = "query_id string, title string, description string, narrative string"
 #: Order of the columns of judgements: the plain one, and that of evaluation tools.
@@ -64,11 +66,28 @@ def examples(spark: SparkSession, path: str) -> DataFrame:
     return id_text_tsv(spark, path).toDF("pos", "query", "passage")
 
 
-def generated(spark: SparkSession, path: str) -> DataFrame:
-    """``(pos, query_id, k, query, prompt, passage)``: the number of shots is a column, not the place of a line."""
+def generated(spark: SparkSession, path: str, shots: int = 5) -> DataFrame:
+    """``(pos, query_id, k, query, prompt, passage)``. In lines of five fields the number of shots is one of them; lines of
+    four have none, and among these it follows from their place, which starts again after ``shots`` lines."""
     names = ("query_id", "k", "query", "prompt", "passage")
-    rows = _split(spark, path, "\t").where(F.size("f") == len(names))
-    return rows.select("pos", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(names)]).withColumn("k", F.col("k").cast("int"))
+    lines = _split(spark, path, "\t")
+    fields = lambda names: [F.get("f", F.lit(i)).alias(c) for i, c in enumerate(names)]
+    plain = lines.where(F.size("f") == len(names)).select("pos", *fields(names))
+    strided = with_place(lines.where(F.size("f") == len(names) - 1).select("pos", *fields([c for c in names if c != "k"])), ["pos"])
+    strided = strided.withColumn("k", (F.col("place") % shots).cast("string")).drop("place")
+    return plain.unionByName(strided).withColumn("k", F.col("k").cast("int"))
+
+
+def rejected_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """``(n_lines, n_rejected)``: how many lines ``docs_tsv`` reads, and how many of them it skips."""
+    lines = spark.read.text(path).select((F.size(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\t")) != 4).cast("long").alias("bad"))
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_rejected"))
+
+
+def lemma_table(spark: SparkSession, path: str) -> DataFrame:
+    """``(token, lemma)`` of lines with a word and its base form, the first of each word."""
+    rows = id_text_tsv(spark, path).toDF("pos", "token", "lemma").where("lemma is not null")
+    return rows.groupBy(F.lower("token").alias("token")).agg(F.min_by("lemma", "pos").alias("lemma"))
 
 
 def run_file(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,12 @@ def preprocessed(df: DataFrame, path: str) -> None:
     lines(df.withColumn("tokens", F.array_join("tokens", " ")), path, ["doc_id", "tokens"])
 
 
+def ranking(ranked: DataFrame, path: str) -> None:
+    """Query, document, rank and score with four decimals, best first within a query."""
+    out = ranked.repartition("query_id").sortWithinPartitions("query_id", "rank").withColumn("score", F.format_string("%.4f", "score"))
+    lines(out, path, ["query_id", "doc_id", "rank", "score"])
+
+
 def report(metrics: DataFrame, path: str) -> None:
     """Metrics appended to a text report: a line per number of shots and cut-off."""
     text = F.format_string("Reranking with k=%d\tAverage NDCG@%d: %.6f", "k", "cutoff", "ndcg")

@@ -37,3 +37,8 @@ def test_pipeline(spark, tmp_path):
     main(["preprocess", path("plain.tsv"), path("pre")], spark)
     main(["score", path("pre"), path("gen"), path("top"), path("qrels"), path("report")], spark)
     assert len(text("report")) == 15
+    put("lemmas", ["virus\tviri"])
+    main(["preprocess", path("plain.tsv"), path("pre2"), "--lemmas", path("lemmas")], spark)
+    assert "d0\tviri viri load" in text("pre2")
+    main(["score", path("pre"), path("gen"), path("top"), path("qrels"), path("report2"), "--ranking", path("ranking"), "--preprocess-query"], spark)
+    assert {x.split("\t")[2] for x in text("ranking")} == {"1", "2"} and len(text("ranking")) == 10

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from siltwork.functions import registry
 from siltwork.functions import text as T
 from siltwork.operators import dedup, fewshot, index, ordering, passages, rerank, search, vocabularies
 from siltwork.sources import readers, writers
@@ -326,3 +327,87 @@ def test_stream(spark, tmp_path):
     stream = ingest.first_deliveries(ingest.documents(spark, src))
     ingest.index_stream(stream, str(tmp_path / "tf"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "tf")).select("term", "tf").collect())) == [("a", 2), ("b", 1)]
+
+
+def test_functions_for_sql(spark):
+    words = spark.createDataFrame([("abab", 5), ("ab", 3), ("cab", 2)], "term string, freq bigint")
+    bpe, pieces = vocabularies.learn_bpe(words, 131), vocabularies.learn_pieces(words, 259)
+    assert registry.register(spark, bpe, pieces) == ["analyze_simple", "bpe_encode", "wordpiece_encode"]
+    spark.createDataFrame([(1, "Abab, c\"d; 'é"), (2, None), (3, "a\tb c:d")], "id int, text string").createOrReplaceTempView("texts_for_sql")
+    got = {r["id"]: r["t"] for r in spark.sql("select id, analyze_simple(text) as t from texts_for_sql").collect()}
+    assert got == {1: ["abab", "c", "d"], 2: [], 3: ["a\tb", "c", "d"]}
+    row = spark.sql("select bpe_encode(analyze_simple('abab cab')) as b, wordpiece_encode(array('abab', 'é')) as p").first()
+    one = lambda v, w: (vocabularies.BpeEncoder if v is bpe else vocabularies.PieceEncoder)(v)(w)
+    assert row["b"] == one(bpe, "abab") + one(bpe, "cab") and row["p"] == one(pieces, "abab") + one(pieces, "é")
+
+
+def test_generated_files_with_and_without_shots(spark, tmp_path):
+    (tmp_path / "four").write_text("".join(f"q{i // 5}\tquery {i}\tprompt\\n\tpassage {i}\n" for i in range(15)))
+    (tmp_path / "five").write_text("q1\t3\tquery\tprompt\tpassage\nbad line\n")
+    got = sorted((r["query_id"], r["k"], r["query"], r["passage"]) for r in readers.generated(spark, str(tmp_path / "four")).collect())
+    assert got == sorted((f"q{i // 5}", i % 5, f"query {i}", f"passage {i}") for i in range(15))
+    assert [(r["query_id"], r["k"]) for r in readers.generated(spark, str(tmp_path / "five")).collect()] == [("q1", 3)]
+
+
+def test_rejected_lines_are_counted(spark, tmp_path):
+    (tmp_path / "docs").write_text("d1\tu\tt\tx\nd2\tu\tt\n\n  d3\tu\tt\ty\t\n")
+    assert tuple(readers.rejected_tsv(spark, str(tmp_path / "docs")).first()) == (4, 2)
+    assert readers.docs_tsv(spark, str(tmp_path / "docs")).count() == 2
+
+
+def test_lemmas_out_of_a_table(spark, tmp_path):
+    (tmp_path / "lemmas").write_text("mice\tmouse\nWolves\twolf\nmice\tmouses\nleft\n")
+    texts = spark.createDataFrame([("a", "The mice left 3 wolves; mice"), ("b", None), ("c", "the")], "doc_id string, text string")
+    got = {r["doc_id"]: r["tokens"] for r in T.preprocess_with_table(texts, readers.lemma_table(spark, str(tmp_path / "lemmas"))).collect()}
+    assert got == {"a": ["mouse", "left", "wolf", "mouse"], "b": [], "c": []}
+
+
+def test_query_in_expansion_may_be_preprocessed(spark):
+    row = spark.createDataFrame([("The Mice", ["x"])], "q string, t array<string>")
+    assert row.select(T.expand_query(F.col("q"), F.col("t"), 2)).first()[0] == "The Mice The Mice x"
+    assert row.select(T.expand_query(F.col("q"), F.col("t"), 2, preprocessed=True)).first()[0] == "mice mice x"
+
+
+def test_sample_leaves_out_a_query_of_its_own(spark):
+    ids = spark.createDataFrame([(f"q{i}",) for i in range(6)], "query_id string")
+    got = {}
+    for r in fewshot.sample(ids, ids.withColumnRenamed("query_id", "example_id"), (0, 2, 5, 9)).collect():
+        got.setdefault((r["query_id"], r["k"]), []).append((r["shot"], r["example_id"]))
+    for (q, k), chosen in got.items():
+        assert sorted(s for s, _ in chosen) == list(range(min(k, 5)))
+        assert q not in {e for _, e in chosen} and len({e for _, e in chosen}) == len(chosen)
+    assert len(got) == 18
+
+
+def test_chat_generator(spark, monkeypatch):
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers.get("Authorization"), body))
+            if len(seen) == 1:
+                self.send_error(503)
+                return
+            out = json.dumps({"choices": [{"message": {"content": body["messages"][1]["content"].upper()}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("CHAT_KEY", "abc")
+    monkeypatch.setattr(fewshot.time, "sleep", lambda s: None)
+    make = fewshot.ChatGenerator(f"http://127.0.0.1:{server.server_port}/v1", "some-model", "CHAT_KEY")
+    assert make(["one", "two"]) == ["ONE", "TWO"]
+    body = seen[-1][1]
+    assert seen[-1][0] == "Bearer abc" and body["messages"][0] == {"role": "system", "content": fewshot.SYSTEM_PROMPT}
+    assert (body["model"], body["temperature"], body["max_tokens"], body["top_p"]) == ("some-model", 0.5, 128, 1) and len(seen) == 3
+    server.shutdown()
