@@ -3,11 +3,15 @@
 A key exists at time t if its latest load at or before t is later than its latest removal at or before t. Both are
 running maxima, so parts of a key's history can be summed up and carried on.
 
-Plan: references are counted per field, key and period first. Keys that hold a large share of all references and
-events are *heavy*; their number is bounded by that share. Heavy keys with a short history are checked against a
-broadcast table of bounded size (keys x history). All other keys meet their history in one shuffle; there a heavy key
-with a long history is cut into days (each with the maxima carried in from earlier days) and salts, so that no task
-gets a key's rows whole. Both results are put together with a union.
+Plan: references are counted per field, key and period (*cells*), with the first and last time of each; a hot key is
+one row per period from then on. Cells meet the histories of their keys, one row a key, in a shuffled anti-join that
+drops every cell through which its key exists all along; what remains has all orphans. Only references of these
+cells go on, to an exact check by time, as a cell may hold others too.
+
+In that check, keys that hold a large share or number of the references and events are *heavy*. Heavy keys with a
+short history are checked against a broadcast table of bounded size (keys x history). All others meet their history in
+one shuffle; there a heavy key with a long history is cut into days (each with the maxima carried in from earlier days)
+and salts, so that no task gets a key's rows whole. Both results are put together with a union.
 
 Edge cases: blank and null keys are no references; references without a time are left out; null load times count as
 no load, null removal times as no removal; repeated rows are each reported under their own ``line_no``; with empty key
@@ -20,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltwork.session import stored
 from siltwork.sources.tables import id_key, is_blank
 
-#: A key is heavy with at least this share of all references and events: there are at most 1 / share of them.
-HEAVY_SHARE = 1 / 256
-#: Longest history of a heavy key that is broadcast; the broadcast has at most 1 / HEAVY_SHARE x 2 x this many times.
+#: A key is heavy with at least this share of all rows, or this many: there are at most 1 / share or rows / number of them.
+HEAVY_SHARE, HEAVY_ROWS = 1 / 256, 2_000_000
+#: Longest history of a heavy key that is broadcast; the broadcast has at most that many keys x 2 x this many times.
 BROADCAST_HISTORY = 64
+#: Longest history of a key that is one row in the anti-join; cells of other keys all go to the exact check.
+JOINED_HISTORY = 1000
 #: Parts into which the references of one day of a heavy key with a long history are split.
 SALTS = 16
 
@@ -72,33 +79,50 @@ def _reason(load, removal, ever) -> F.Column:
     return F.when(exists, F.lit(None).cast("string")).when(~ever, "missing").when(load.isNull(), "late").otherwise("removed")
 
 
+def _histories(events: DataFrame) -> DataFrame:
+    """``(ref_field, key, loads, removals)``: the times of a key's events, one row a key."""
+    return events.groupBy("ref_field", "key").agg(
+        F.collect_list(F.when(F.col("load"), F.col("at"))).alias("loads"), F.collect_list(F.when(~F.col("load"), F.col("at"))).alias("removals")
+    )
+
+
+def open_cells(cells: DataFrame, events: DataFrame) -> DataFrame:
+    """The ``cells`` (ref_field, key, ref_period, n_refs, first, last) through which their key does not exist all along.
+
+    A cell is left out if its key was loaded at or before the first reference and not removed between the latest such
+    load and the last one, both ends included.
+    """
+    keys = ["ref_field", "key"]
+    long_ = stored(events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > JOINED_HISTORY), "long-histories")
+    h = _histories(events.join(long_, keys, "left_anti")).select(*[F.col(k).alias(f"h_{k}") for k in keys], "loads", "removals")
+    load = F.array_max(F.filter("loads", lambda x: x <= F.col("first")))
+    covered = load.isNotNull() & ~F.exists("removals", lambda x: (x >= load) & (x <= F.col("last")))
+    return cells.join(h, (F.col("ref_field") == F.col("h_ref_field")) & (F.col("key") == F.col("h_key")) & covered, "left_anti")
+
+
 def orphans(qrels: DataFrame, loads: dict[str, DataFrame], removed: DataFrame) -> DataFrame:
     """``(line_no, ref_field, reason, ref_period)`` of the references whose key does not exist at their time."""
-    refs, events = references_of(qrels), events_of(loads, removed)
-    cells = refs.groupBy("ref_field", "key", "ref_period").agg(F.count(F.lit(1)).alias("n_refs"))
+    keys = ["ref_field", "key"]
+    refs, events = references_of(qrels), stored(events_of(loads, removed), "events")
+    cells = refs.groupBy(*keys, "ref_period").agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first"), F.max("at").alias("last"))
+    open_ = stored(open_cells(cells, events), "cells")
+    refs = refs.join(open_.select(*keys, "ref_period"), [*keys, "ref_period"], "left_semi")
     weights = (
-        cells.select("ref_field", "key", "n_refs", F.lit(0).cast("long").alias("n_events"))
-        .unionByName(events.groupBy("ref_field", "key").agg(F.count(F.lit(1)).alias("n_events")).withColumn("n_refs", F.lit(0).cast("long")))
-        .groupBy("ref_field", "key")
+        open_.select(*keys, "n_refs", F.lit(0).cast("long").alias("n_events"))
+        .unionByName(events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")).withColumn("n_refs", F.lit(0).cast("long")))
+        .groupBy(*keys)
         .agg(F.sum("n_refs").alias("n_refs"), F.sum("n_events").alias("n_events"))
     )
-    # row counts come from the file footers; they bound the sum of all weights, so at most 1 / HEAVY_SHARE keys pass
+    # row counts come from the file footers; they bound the sum of all weights, and so the number of heavy keys
     total = len(FIELDS) * qrels.count() + sum(df.count() for df in loads.values()) + removed.count()
-    heavy_rows = weights.where(F.col("n_refs") + F.col("n_events") >= max(1.0, total * HEAVY_SHARE)).select("ref_field", "key", "n_events").collect()
+    least = max(1.0, min(total * HEAVY_SHARE, HEAVY_ROWS))
+    heavy_rows = weights.where(F.col("n_refs") + F.col("n_events") >= least).select(*keys, "n_events").collect()
     spark = qrels.sparkSession
     heavy = spark.createDataFrame([(r[0], r[1], r[2] <= BROADCAST_HISTORY) for r in heavy_rows], "ref_field string, key string, short boolean")
-    keys = ["ref_field", "key"]
     marked_refs = refs.join(F.broadcast(heavy), keys, "left")
     marked_events = events.join(F.broadcast(heavy), keys, "left")
 
-    short = (
-        marked_events.where("short")
-        .groupBy(*keys)
-        .agg(
-            F.collect_list(F.when(F.col("load"), F.col("at"))).alias("loads"),
-            F.collect_list(F.when(~F.col("load"), F.col("at"))).alias("removals"),
-        )
-    )
+    short = _histories(marked_events.where("short"))
     upto = lambda c: F.array_max(F.filter(F.coalesce(F.col(c), F.array().cast(short.schema[c].dataType)), lambda x: x <= F.col("at")))
     by_broadcast = (
         marked_refs.where("short")
