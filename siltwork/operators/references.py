@@ -106,7 +106,7 @@ def orphans(qrels: DataFrame, loads: dict[str, DataFrame], removed: DataFrame) -
     refs, events = references_of(qrels), stored(events_of(loads, removed), "events")
     cells = refs.groupBy(*keys, "ref_period").agg(F.count(F.lit(1)).alias("n_refs"), F.min("at").alias("first"), F.max("at").alias("last"))
     open_ = stored(open_cells(cells, events), "cells")
-    refs = refs.join(open_.select(*keys, "ref_period"), [*keys, "ref_period"], "left_semi")
+    refs = stored(refs.join(open_.select(*keys, "ref_period"), [*keys, "ref_period"], "left_semi"), "references")
     weights = (
         open_.select(*keys, "n_refs", F.lit(0).cast("long").alias("n_events"))
         .unionByName(events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events")).withColumn("n_refs", F.lit(0).cast("long")))

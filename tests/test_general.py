@@ -28,9 +28,11 @@ def _orphans(qrels, loads, removed):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 400])
-def test_orphans(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, joined, rows", [(0, 1000, 2_000_000), (400, 1000, 2_000_000), (400, 2, 5)])
+def test_orphans(spark, hot, joined, rows, monkeypatch):
     monkeypatch.setattr(references, "BROADCAST_HISTORY", 3)
+    monkeypatch.setattr(references, "JOINED_HISTORY", joined)
+    monkeypatch.setattr(references, "HEAVY_ROWS", rows)
     rng = random.Random(hot)
     day = lambda: T0 + timedelta(hours=rng.randrange(0, 24 * 50, 12))
     keys = [f"D{i}" for i in range(12)]
