@@ -1,8 +1,9 @@
 """Rows that fail to parse (problem 5).
 
-Lines are read permissively under an explicit schema that keeps the corrupt raw text. The CSV reader is not exact
-about stray quotes and line feeds inside a line, so what it marks as corrupt, and every line with a quote, a line
-feed or a carriage return, is classified again by checks in the stated order: quoting, column count, casts.
+Lines are read permissively under an explicit schema whose last field keeps the raw text of what the reader could not
+place. That raw text is classified again by checks in the stated order: quoting, column count, casts. The reader is not
+exact about quotes and line breaks inside a line and about blank lines, so the raw text of such lines goes the same way, whatever it made of
+them; and a line of more fields than it takes is not shown to it at all.
 
 Edge cases: a null or empty line has one empty field and fails by its columns; one carriage return at the end is not
 part of the line; very long lines and many quotes are matched without recursion (possessive patterns).
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 #: Schema of the delivery; the last field keeps the raw text of what the reader could not place.
 SCHEMA = "doc_id string, url string, title string, text string, _corrupt string"
 N_FIELDS = 4
+#: Most fields that the reader takes.
+MAX_FIELDS = 4096
 #: A field, a whole line, and the forms of id and text that load.
 FIELD = r'(?:"(?:[^"]++|"")*+"(?=\t|\z)|(?!")[^\t]*+)'
 LINE = rf"\A{FIELD}(?:\t{FIELD})*+\z"
@@ -29,18 +32,18 @@ def parsed(raw: DataFrame) -> DataFrame:
     ``fields`` has the values without their quotes, or is null where the quoting is broken.
     """
     line = F.regexp_replace(F.coalesce("line", F.lit("")), r"\r\z", "")
-    options = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxColumns": "65536", "emptyValue": ""}
-    read = F.from_csv("body", SCHEMA, options)
+    options = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxColumns": str(MAX_FIELDS), "emptyValue": ""}
     df = raw.select("line_no", "line", line.alias("body"))
-    # what the reader is exact about: no quotes, one line, no more fields than it takes
-    plain = ~F.col("body").rlike('["\\n\\r]') & (F.length(F.regexp_replace("body", "[^\t]", "")) < 65000)
-    df = df.withColumn("row", F.when(plain, read))
-    placed = F.col("row").isNotNull() & F.col("row._corrupt").isNull() & (F.length(F.regexp_replace("body", "[^\t]", "")) == N_FIELDS - 1)
-    easy = F.array(*[F.coalesce(F.col(f"row.{c}"), F.lit("")) for c in ("doc_id", "url", "title", "text")])
-    pieces = F.regexp_extract_all(F.concat(F.lit("\t"), "body"), F.lit(rf"\t({FIELD})"), F.lit(1))
+    n_tabs = F.length("body") - F.length(F.translate("body", "\t", ""))
+    df = df.withColumn("row", F.when(n_tabs < MAX_FIELDS, F.from_csv("body", SCHEMA, options)))
+    # raw text that is classified again: what the reader has marked, what it is not exact about, what it was not shown
+    unsure = F.col("row").isNull() | F.col("body").rlike(r'["\n\r]|(?U)\A\s*\z')
+    df = df.withColumn("corrupt", F.coalesce(F.col("row._corrupt"), F.when(unsure, F.col("body"))))
+    placed = F.array(*[F.coalesce(F.col(f"row.{c}"), F.lit("")) for c in ("doc_id", "url", "title", "text")])
+    pieces = F.regexp_extract_all(F.concat(F.lit("\t"), "corrupt"), F.lit(rf"\t({FIELD})"), F.lit(1))
     unquoted = F.transform(pieces, lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-    again = F.when(F.col("body").rlike(LINE), unquoted)
-    df = df.withColumn("fields", F.when(placed, easy).otherwise(again))
+    again = F.when(F.col("corrupt").rlike(LINE), unquoted)
+    df = df.withColumn("fields", F.when(F.col("corrupt").isNull(), placed).otherwise(again))
     return df.select("line_no", "line", "fields", _reason(F.col("fields")).alias("reason"))
 
 
