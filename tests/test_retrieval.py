@@ -411,3 +411,16 @@ def test_chat_generator(spark, monkeypatch):
     assert seen[-1][0] == "Bearer abc" and body["messages"][0] == {"role": "system", "content": fewshot.SYSTEM_PROMPT}
     assert (body["model"], body["temperature"], body["max_tokens"], body["top_p"]) == ("some-model", 0.5, 128, 1) and len(seen) == 3
     server.shutdown()
+
+
+def test_scratch_can_be_dropped(spark):
+    from pathlib import Path
+
+    from siltwork import session
+
+    other = Path(session.scratch_dir(spark)) / "siltwork" / "other-application"
+    other.mkdir(parents=True, exist_ok=True)
+    df = session.stored(spark.range(3), "kept")
+    assert df.count() == 3 and session.drop_scratch(spark) and other.is_dir()
+    assert not list(other.parent.glob(f"{spark.sparkContext.applicationId}*")) and session.drop_scratch(spark) in (True, False)
+    assert session.stored(spark.range(2), "kept").count() == 2
