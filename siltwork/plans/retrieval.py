@@ -581,6 +581,14 @@ ORACLE = {
     select query_id, k, cast(shot as int) as shot, example_id from rest where shot < k""",
     "disjoint_all": _WD + "," + _CHUNKS + "," + _DISJOINT.replace(_EXAMPLES, _EXAMPLES_ALL)
     + " select query_id, k, cast(shot as int) as shot, example_id from chosen where query_id in (select query_id from queries where trim(title) <> '')",
+    "bm25_run": _WD + "," + _CORPUS + f""",
+    run as (select distinct {_KEY('query_id')} as query_id, {_KEY('doc_id')} as doc_id from run_file where query_id is not null and doc_id is not null),
+    d as (select doc_id, {_SPLIT.format('lower(text)')} as tokens from corpus),
+    pairs as (
+      select r.query_id, r.doc_id, len(tokens) as dl, coalesce(rel, 0) as rel from run r join d using (doc_id) left join qrels j on j.query_id = r.query_id and j.doc_id = r.doc_id
+      where r.query_id in (select query_id from queries)
+    ),"""
+    + _BM25[_BM25.index("st as ("):] + " select query_id, doc_id, score, rel from bm",
     "bm25_ranked": _WD + "," + _BM25 + " select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, score from bm",
     "missing_candidates": _W + f""", run as (select distinct {_KEY('query_id')} as query_id, {_KEY('doc_id')} as doc_id from run_file where query_id is not null and doc_id is not null)
     select query_id, count(*) as n_candidates, count(*) filter (where c.doc_id is null) as n_missing from run r left join (select doc_id from corpus) c on c.doc_id = r.doc_id group by 1""",
