@@ -5,7 +5,7 @@ from bisect import bisect_left
 import numpy as np
 import pytest
 
-from siltwork.llm import pieces, sentences
+from siltwork.llm import pieces
 from siltwork.llm.sentences import Function, replayed, scan, scan_chunk, sentence_units, units, unpack
 
 CASES = [
