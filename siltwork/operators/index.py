@@ -31,6 +31,11 @@ def document_norms(tf: DataFrame) -> DataFrame:
     return tf.groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
+def bags(tf: DataFrame) -> DataFrame:
+    """``(doc_id, terms)``: all terms of a document with their ``tf`` in one row."""
+    return tf.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+
+
 def postings(tf: DataFrame, per_block: int = 100_000) -> DataFrame:
     """``(term, block, df, postings)``: lists in the order of documents, in blocks of at most ``per_block`` documents.
 
@@ -50,12 +55,13 @@ def postings(tf: DataFrame, per_block: int = 100_000) -> DataFrame:
 
 @dataclass
 class Index:
-    """Tables of an index; ``weights`` has ``(term, doc_id, tf)``."""
+    """Tables of an index; ``tf`` has ``(term, doc_id, tf)``, ``bags`` the same by document if it is written."""
 
     tf: DataFrame
     df: DataFrame
     norms: DataFrame
     n_docs: int
+    bags: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, tokens: Column | None = None) -> Index:
@@ -63,6 +69,21 @@ class Index:
         norms = document_norms(tf)
         return cls(tf, document_frequencies(tf), norms, norms.count())
 
+    @classmethod
+    def by_document(cls, docs: DataFrame, tokens: Column | None = None) -> Index:
+        """The same over terms that are counted once and written by document."""
+        held = stored(bags(term_frequencies(docs, tokens)), "bags")
+        tf = held.select("doc_id", F.inline("terms")).select("term", "doc_id", "tf")
+        squares = F.aggregate("terms", F.lit(0.0), lambda a, t: a + tf_weight(t["tf"]) * tf_weight(t["tf"]))
+        norms = held.select("doc_id", F.sqrt(squares).alias("norm"))
+        return cls(tf, document_frequencies(tf), norms, norms.count(), held)
+
+    def documents(self) -> DataFrame:
+        """``bags``, written now if they are not."""
+        if self.bags is None:
+            self.bags = stored(bags(self.tf), "bags")
+        return self.bags
+
     def save(self, path: str, partitions: int | None = None) -> None:
         """Postings sorted by term within partitions, so a lookup reads few row groups."""
         tf = self.tf.repartition(partitions, "term") if partitions else self.tf.repartition("term")

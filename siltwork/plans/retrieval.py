@@ -118,9 +118,7 @@ def query_tf(spark: SparkSession, folder: str) -> DataFrame:
 
 def _index(spark: SparkSession, folder: str) -> index.Index:
     """The index over term frequencies that are counted once and written."""
-    tf = stored(tf_of(spark, folder), "tf")
-    norms = index.document_norms(tf)
-    return index.Index(tf, index.document_frequencies(tf), norms, norms.count())
+    return index.Index.by_document(corpus(spark, folder))
 
 
 def search_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,8 +129,7 @@ def search_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def tfidf_top100(spark: SparkSession, folder: str) -> DataFrame:
     """The 100 best documents of every test query."""
-    built = _index(spark, folder)
-    top = search.ranked(search.scores(built, tests_of(spark, folder)), TOP)
+    top = search.best(_index(spark, folder), tests_of(spark, folder), TOP)
     return top.select("query_id", F.lit(0).alias("iter"), "doc_id", F.round("score", 6).alias("score"))
 
 
