@@ -67,8 +67,7 @@ def run_search(spark: SparkSession, a) -> None:
         learned = vocabularies.Vocabulary.load(spark, f"{a.index}/dict")
         ids = vocabularies.encode(T.analyze(F.col("text")), learned)
         queries = queries.select("query_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("text"))
-    scored = search.scores(built, queries)
-    writers.run_file(search.with_zero_fill(built, queries, scored, a.k), a.out)
+    writers.run_file(search.with_zero_fill(built, queries, search.best(built, queries, a.k), a.k), a.out)
 
 
 def extract(spark: SparkSession, a) -> None:

@@ -137,7 +137,7 @@ def tfidf_zero_fill(spark: SparkSession, folder: str) -> DataFrame:
     """The same, lists filled up to 100 with documents that match nothing."""
     built = _index(spark, folder)
     tests = tests_of(spark, folder)
-    top = search.with_zero_fill(built, tests, search.scores(built, tests), TOP)
+    top = search.with_zero_fill(built, tests, search.best(built, tests, TOP), TOP)
     return top.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

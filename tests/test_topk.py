@@ -63,7 +63,7 @@ def written(spark):
     return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
 
 
-@pytest.mark.parametrize("name", ["tfidf_top100"])
+@pytest.mark.parametrize("name", ["tfidf_top100", "tfidf_zero_fill"])
 def test_pairs_are_not_shuffled(spark, tmp_path, name):
     from siltwork.plans import retrieval
 
